@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.llm import tokenizing
-from skeinwork.llm.common import materialize
+from skeinwork.llm.common import materialize, slices
 
 
 def padding(total: int, window: int) -> int:
@@ -93,10 +93,10 @@ def pieces(docs: DataFrame, vocabulary: str, *, window: int = 2048, end_id: int
         encoder = tokenizing.encoder(vocabulary)
         part = TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, "text")):
             out: list[list] = [[] for _ in names]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = encoder.encode(text.as_py()) + end
+            for doc, raw in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1).to_pylist()), strict=True):
+                raw += end
                 n = len(raw) // 4
                 for start in range(0, n, window):
                     piece = raw[4 * start : 4 * (start + window)]

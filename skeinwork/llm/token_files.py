@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinwork.llm import tokenizing
-from skeinwork.llm.common import materialize, work_dir
+from skeinwork.llm.common import materialize, slices, work_dir
 
 MAGIC = b"SKTOKEN1"
 NULL_ID = -(1 << 63)
@@ -143,12 +143,13 @@ def write(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = 1, image
             return pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], ["image"])
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raws.append(encoder.encode(text.as_py()) + end)
-                doc_ids.append(NULL_ID if doc is None else doc)
-                held += len(raws[-1]) // 4
-                if held >= image_ids:
-                    yield flush()
+            for part_ in slices(b, "text"):
+                for doc, raw in zip(part_.column(0).to_pylist(), encoder.encode_all(part_.column(1).to_pylist()), strict=True):
+                    raws.append(raw + end)
+                    doc_ids.append(NULL_ID if doc is None else doc)
+                    held += len(raws[-1]) // 4
+                    if held >= image_ids:
+                        yield flush()
         if doc_ids:
             yield flush()
 
