@@ -88,3 +88,24 @@ def segment_sum(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sums of values[off[i]:off[i + 1]]; 0 for empty ranges."""
     total = np.concatenate([np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
     return total[off[1:]] - total[off[:-1]]
+
+
+#: Shares that the rows of one key are spread over when they are joined back to what was computed for the key.
+SALTS = 64
+
+
+def salt(*spread: str) -> Column:
+    return F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
+
+
+def with_group(df: DataFrame, key: str, spread: list[str], *aggregates: Column) -> DataFrame:
+    """``df`` with aggregates of each row's group, none null; rows with a null key are lost.
+
+    Aggregates combine before the shuffle.  The rows of a key are spread over SALTS
+    shares by the columns ``spread``, and a group's aggregates go only to the shares
+    that have a row of it, so a very large group isn't gathered in one task.
+    """
+    rows = df.withColumn("__salt", salt(*spread))
+    groups = rows.groupBy(key).agg(*aggregates, F.collect_set("__salt").alias("__salts"))
+    groups = groups.withColumn("__salt", F.explode("__salts")).drop("__salts")
+    return rows.join(groups, [key, "__salt"]).drop("__salt")
