@@ -150,10 +150,34 @@ def predict(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ()) -> Da
                 columns = [b.column(c) for c in ("doc_id", "held_out", *keep)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(names[pred], pa.string()), pa.array(score)], ["doc_id", "held_out", *keep, "lang_pred", "score"])
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *keep, "text")
-    kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema if x.name == "doc_id" or x.name == "held_out" or x.name in keep)
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *[c for c in keep if c != "text"], "text")
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", "held_out", *keep))
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, *, most: int = DOCUMENTS_PER_LANGUAGE) -> DataFrame:
     return predict(docs, fit(docs, most=most))
+
+
+#: Least score, as a multiple of an even share among the languages, of a document that stays.
+LEAST_OVER_EVEN = 1.2
+
+
+def keep_known(docs: DataFrame, *, least: float = LEAST_OVER_EVEN) -> DataFrame:
+    """The rows of ``docs`` whose language is recognised, with its columns; a null lang becomes the one recognised.
+
+    Rows go if they have no letter or if no language stands out.  With fewer than two
+    learnt languages nothing can stand out, and only rows without a letter go.
+    """
+    names = {c: f"__{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    filters = fit(docs)
+    few = len(filters.languages) < 2
+    renamed = docs.select("doc_id", "text", *[F.col(c).alias(v) for c, v in names.items()])
+    rows = predict(renamed, filters, ("text", *names.values()))
+    good = F.col("lang_pred") != "und" if filters.languages else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    if not few:
+        good = good & (F.col("score") * len(filters.languages) >= least)
+    out = {c: F.col(names.get(c, c)) for c in docs.columns}
+    if filters.languages:
+        out["lang"] = F.coalesce(out["lang"], F.col("lang_pred"))
+    return rows.where(good).select(*[v.alias(c) for c, v in out.items()])

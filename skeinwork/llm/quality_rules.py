@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import WORD_SEPARATORS
+from skeinwork.llm.common import WORD_SEPARATORS, materialize
 
 #: Words in a window, and the least number of words of a document.
 WINDOW, LEAST_WORDS = 8, 20
@@ -126,25 +126,37 @@ def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: flo
     return fine.groupBy("stratum", "rule").agg(best).select("stratum", "rule", "b.*")
 
 
+#: Rows of cutoffs that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 20_000
+
+
 def judge(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     """``rows`` with kept: false where base_failed or where a rule's count is over its stratum's cutoff."""
+    chosen = materialize(chosen, "quality-cutoffs")
     wide = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in RULES])
+    if chosen.count() <= BROADCAST_ROWS:
+        wide = F.broadcast(wide)
     over = F.lit(False)
     for r, (c, _) in RULES.items():
         over = over | F.coalesce(per_mille(c) > F.col(f"max_{r}"), F.lit(False))
-    # the planner broadcasts `wide` if it is small enough when it runs
     return rows.join(wide, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~over).drop(*[f"max_{r}" for r in RULES])
 
 
-def assess(docs: DataFrame, labels: DataFrame, *, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Features and verdict of every document; strata are the values of lang (null: "")."""
-    from skeinwork.llm.common import materialize
-
-    lang = F.coalesce(F.col("lang"), F.lit(""))
-    rows = materialize(features(docs.withColumn("stratum", lang), ("stratum",)), "quality-features")
+def judged(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), *, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Features and verdict of every row of ``docs`` with the columns ``keep``; strata are the values of lang (null: "")."""
+    rows = docs.withColumn("stratum", F.coalesce(F.col("lang"), F.lit("")))
+    rows = materialize(features(rows, ("stratum", *keep)), "quality-features")
     return judge(rows, cutoffs(rows, labels, alpha, delta))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with its columns."""
+    # under other names, so that no column of docs is taken for a feature
+    names = {c: f"__{k}" for k, c in enumerate(docs.columns) if c != "doc_id"}
+    rows = judged(docs.withColumns({v: F.col(c) for c, v in names.items()}), labels, tuple(names.values()))
+    return rows.where("kept").select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+
 def oracle() -> str:
     """The same rows as DuckDB SQL over documents and labels."""
     value = lambda c: f"CAST(floor(1000.0 * {c} / greatest(n_words, 1)) AS BIGINT)"

@@ -26,7 +26,7 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(*columns)
+    return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(*columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

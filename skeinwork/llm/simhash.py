@@ -37,8 +37,8 @@ SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 0x20 if b in SEPARATORS else b for b in range(256))
 
 
-def fingerprint(text: str | None) -> int:
-    """Majority bits of the XXH64 of all shingles; 0 if there is no word."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Majority bits of the XXH64 of all shingles of ``shingle`` words; 0 if there is no word."""
     words = (text or "").encode().translate(LOWER).split(b" ")
     words = [w for w in words if w]
     if not words:
@@ -46,8 +46,8 @@ def fingerprint(text: str | None) -> int:
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - SHINGLE + 1)
-    last = ends[min(SHINGLE, len(words)) - 1 :]
+    n = max(1, len(words) - shingle + 1)
+    last = ends[min(shingle, len(words)) - 1 :]
     h = xxhash.xxh64_intdigest
     hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)], np.uint64)
     ones = np.zeros(BITS, np.int64)
@@ -56,16 +56,16 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits((2 * ones > n), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = (), shingle: int = SHINGLE) -> DataFrame:
     """fp (long, the 64 bits as a signed integer) and the columns ``keep``; a null or empty text, or one without words, has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in b.column("text")], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fp)], [*keep, "fp"])
 
-    rows = docs.select(*keep, "text")
-    kinds = "".join(f"`{x.name}` {x.dataType.simpleString()}, " for x in rows.schema if x.name in keep)
+    rows = docs.select(*[c for c in keep if c != "text"], "text")
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
     return rows.mapInArrow(run, f"{kinds}fp long")
 
 
@@ -303,3 +303,23 @@ def group(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
     named = named.select("fp", F.explode("salts").alias("salt"), "component_id")
     out = rows.withColumn("salt", salt("doc_id")).join(named, ["fp", "salt"])
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Words in a shingle of the deduplicating stage.
+STAGE_SHINGLE = 5
+
+
+def keep_one(docs: DataFrame, *, distance: int = DISTANCE, shingle: int = STAGE_SHINGLE) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, that of the smallest doc_id; the columns of ``docs``.
+
+    Of repeated rows with that id and fingerprint one stays.  Rows without an id stay
+    only where no member of the group has one, one for each fingerprint.
+    """
+    names = {c: f"__{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    renamed = docs.select("doc_id", "text", *[F.col(c).alias(v) for c, v in names.items()])
+    rows = materialize(fingerprints(renamed, ("doc_id", "text", *names.values()), shingle), "fingerprinted")
+    groups = group(rows.select("doc_id", "fp"), distance)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.conv("fingerprint", 16, 10).alias("u")).distinct()
+    unsigned = F.conv(F.hex("fp"), 16, 10)
+    kept = rows.withColumns({"k": F.coalesce("doc_id", F.lit(0)), "u": unsigned}).join(first, ["k", "u"], "left_semi")
+    return kept.dropDuplicates(["k", "u"]).select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
