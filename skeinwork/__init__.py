@@ -1,0 +1 @@
+"""Skeinwork: an analytics engine for dynamic graphs on Spark DataFrames."""
