@@ -101,7 +101,7 @@ def env_first(text: Column, key: str) -> Column:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """file, text of whole files; bytes that aren't ASCII become U+FFFD."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     return raw.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "�"))
 
 

@@ -39,7 +39,7 @@ def commands(entries: DataFrame) -> DataFrame:
 def connectivity(entries: DataFrame) -> DataFrame:
     """Connection lines of the settings files, split by kind."""
     ini = entries.select("source", F.explode("e.buildStep.iniFiles").alias("i"))
-    raw = ini.select("source", F.coalesce("i.path", F.lit("")).alias("ini_path"), F.trim(F.explode(F.split("i.content", "\n"))).alias("raw"))
+    raw = ini.select("source", F.coalesce("i.path", F.lit("")).alias("ini_path"), F.explode(F.transform(F.split("i.content", "\n"), lambda x: F.trim(x))).alias("raw"))
     raw = raw.where(~F.col("raw").startswith("#") & F.col("raw").contains("="))
     kind, value = F.trim(F.substring_index("raw", "=", 1)), F.trim(F.regexp_replace("raw", "^[^=]*=", ""))
     rows = raw.withColumns({"kind": kind, "v": value}).where(F.col("kind").isin(*CONNECTION_KEYS))
