@@ -3,9 +3,10 @@
 Two word models, toxic and ordinary, of order two, over the number of documents
 that have an expression (a document that repeats it counts once): absolutely discounted bigrams
 back off to discounted unigrams of the same class, and these to continuation
-counts (distinct preceding words) *shared* by both classes, so an expression that
-is rare in both adds next to nothing to the difference.  The log-likelihoods are
-divided by the number of words; a logistic curve over that difference and over the
+counts (distinct documents, the contexts here) *shared* by both classes.  Both
+classes hand the same share of their counts on, so an expression that is rare in
+both adds next to nothing to the difference.  The log-likelihoods are
+divided by the number of different words; a logistic curve over that difference and over the
 part of it that single words with a great difference bring, fitted without each
 document's own counts, gives the score.
 
@@ -80,7 +81,7 @@ def pair_slot(h: np.ndarray) -> np.ndarray:
 #: Table: (log2 of its length, kind of its entries).  *_maps have 32 bits for each word slot.
 TABLES = {
     "words0": (WORD_BITS, "u4"), "words1": (WORD_BITS, "u4"), "pairs0": (PAIR_BITS, "u4"), "pairs1": (PAIR_BITS, "u4"),
-    "before_maps": (WORD_BITS, "map"), "after0_maps": (WORD_BITS, "map"), "after1_maps": (WORD_BITS, "map"), "totals": (7, "u4"),
+    "after0_maps": (WORD_BITS, "map"), "after1_maps": (WORD_BITS, "map"), "totals": (7, "u4"),
 }
 
 
@@ -98,7 +99,6 @@ class Counts:
         kind = toxic[row]
         # an expression counts once in a document, however often that repeats it
         docs = {name: np.unique(row << bits | slot) for name, bits, slot in (("words", WORD_BITS, w), ("pairs", PAIR_BITS, p))}
-        self.t["before_maps"][w * 32 + (before & np.uint64(31)).astype(np.int64)] = True
         for c in (0, 1):
             own = kind == c
             for name, bits in (("words", WORD_BITS), ("pairs", PAIR_BITS)):
@@ -138,7 +138,7 @@ def distinct(maps: np.ndarray) -> np.ndarray:
 #: Discount in the class with fewer words.
 DISCOUNT = 2.0
 #: Difference of a word's log-likelihoods from which it counts as strong evidence.
-STRONG = 1.2
+STRONG = 1.8
 
 
 def handed_on(counts: np.ndarray, d: float) -> float:
@@ -194,7 +194,11 @@ class Model:
         """Of each row: the mean difference; the mean and (as log1p) the sum of what words have over STRONG."""
         h, first = words(off, data)
         before, both = pairs(h, first)
-        d = self.differences(word_slot(h), word_slot(before), pair_slot(both), own) if len(h) else np.zeros(0)
+        # the first of equal words of a document stands for all of them
+        row = np.repeat(np.arange(len(off) - 1, dtype=np.uint64), np.diff(first))
+        at = np.sort(np.unique(mixed(h + row * MIX), return_index=True)[1])
+        first = np.searchsorted(at, first)
+        d = self.differences(word_slot(h[at]), word_slot(before[at]), pair_slot(both[at]), own) if len(at) else np.zeros(0)
         n = np.diff(first)
         strong = segment_sum(np.maximum(d - STRONG, 0), first)
         return np.stack([segment_sum(d, first) / np.maximum(n, 1), strong / np.maximum(n, 1), np.log1p(np.maximum(strong, 0))], axis=1)
@@ -207,8 +211,9 @@ class Model:
 
 
 def model(tables: dict[str, np.ndarray]) -> Model:
-    before = distinct(tables["before_maps"])
-    shared = (before + 0.5) / (before + 0.5).sum()
+    # distinct documents, of either class, are the contexts that the shared counts continue
+    both = tables["words0"].astype(np.float64) + tables["words1"] + 0.5
+    shared = both / both.sum()
     word, pair = ([tables[f"{name}{c}"] for c in (0, 1)] for name in ("words", "pairs"))
     cut_word, cut_pair = matched(word), matched(pair)
     share = max(1e-3, *(handed_on(word[c], cut_word[c]) for c in (0, 1)))
