@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import language_id, packing, quality_net, quality_rules, simhash, suffix_dedup, token_files, topk, toxicity
+from skeinwork.llm import language_id, packing, quality_net, quality_rules, sentencepiece_lattice, simhash, suffix_dedup, token_files, topk, toxicity
 from skeinwork.llm.common import table
 
 
@@ -16,6 +16,12 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,6 +30,11 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = piece_model()
+    return sentencepiece_lattice.digest(sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), path), path)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(*columns)
@@ -54,7 +65,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = (op1_quality_net, op2_topk, op4_quality_rules, op5_simhash, op6_token_files, op7_packing, op8_language_id, op9_toxicity, op10_suffix_dedup)
+QUERIES = (op1_quality_net, op2_topk, op3_sentencepiece, op4_quality_rules, op5_simhash, op6_token_files, op7_packing, op8_language_id, op9_toxicity, op10_suffix_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
