@@ -57,7 +57,7 @@ class Filters:
         """Corrected share of n-grams of each language, a row for each document; number of n-grams."""
         g = grams(data)
         ends = np.maximum(off[:-1], off[1:] - (N - 1))
-        ranges = np.stack([off[:-1], ends], axis=1)
+        ranges = np.minimum(np.stack([off[:-1], ends], axis=1), len(g))
         n = ranges[:, 1] - ranges[:, 0]
         share = np.zeros((len(n), len(self.languages)))
         probe = list(slots(g, self.bits))

@@ -266,7 +266,7 @@ def midpoints(rows: DataFrame, parts: list[tuple[list[int], int]], distance: int
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for f in np.unique(b.column(0).to_numpy()):
-                m = np.uint64(f & ((1 << 64) - 1) if f >= 0 else (1 << 64) + int(f)) ^ masks
+                m = np.array([f], np.int64).view(np.uint64) ^ masks
                 yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(np.full(len(m), f))], ["mid", "fp"])
 
     # all bits, not only those outside the value: a probe differs inside it
