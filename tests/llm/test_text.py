@@ -111,7 +111,7 @@ def test_language_edges(spark):
     f = language_id.learn(many)
     for lang in ("l000", "l069"):
         raw = "".join(many[lang][:9]).encode()
-        share, _ = f.hits(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))
+        share, _ = f.hits(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
         assert f.languages[share.argmax()] == lang
     kept = language_id.keep_known(docs(spark, texts))
     assert kept.columns == ["doc_id", "text", "lang"] and kept.count() == 32
