@@ -37,23 +37,32 @@ SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 0x20 if b in SEPARATORS else b for b in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Majority bits of the XXH64 of all shingles of ``shingle`` words; 0 if there is no word."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of all shingles of ``shingle`` words, in order; none if there is no word."""
     words = (text or "").encode().translate(LOWER).split(b" ")
     words = [w for w in words if w]
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     last = ends[min(shingle, len(words)) - 1 :]
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)], np.uint64)
+    return np.array([h(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
-    for lo in range(0, n, 1 << 16):
+    for lo in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * ones > n), bitorder="little").view("<u8")[0])
+    return int(np.packbits((2 * ones > len(hashes)), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Majority bits of the XXH64 of all shingles of ``shingle`` words; 0 if there is no word."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = (), shingle: int = SHINGLE) -> DataFrame:
@@ -102,11 +111,12 @@ def near(width: int, t: int) -> list[int]:
     return [sum(1 << b for b in c) for r in range(t + 1) for c in combinations(range(width), r)]
 
 
-def estimate(sample: np.ndarray, group: list[int], t: int, n: int) -> float:
+def estimate(sample: np.ndarray, group: list[int], t: int, n: int, send: float = SEND, verify: float = VERIFY) -> float:
     """Cost of a threshold in a group for n fingerprints: keys that are sent, and candidates (pairs) by the sample's value counts."""
     if t < 0:
         return 0.0
-    if (keys := sum(math.comb(len(group), r) for r in range(t + 1))) > MOST_KEYS:
+    # near its width a threshold lets everything through
+    if t > 0 and 4 * t > len(group) or (keys := sum(math.comb(len(group), r) for r in range(t + 1))) > MOST_KEYS:
         return math.inf
     seen, counts = np.unique(values(sample, group), return_counts=True)
     pairs = 0.0
@@ -117,7 +127,7 @@ def estimate(sample: np.ndarray, group: list[int], t: int, n: int) -> float:
         pairs += float((counts[hit] * (counts[at[hit]] - (1 if mask == 0 else 0))).sum())
     # what the sample can't see: values that are as good as random
     random = n * n * keys / 2.0 ** len(group)
-    return SEND * n * keys + VERIFY * max(pairs * (n / max(1, len(sample))) ** 2, random)
+    return send * n * keys + verify * max(pairs * (n / max(1, len(sample))) ** 2, random)
 
 
 def allocate(costs: list[list[float]], total: int) -> list[int]:
@@ -133,12 +143,12 @@ def allocate(costs: list[list[float]], total: int) -> list[int]:
     return best[total][1]
 
 
-def choose(sample: np.ndarray, n: int, distance: int = DISTANCE) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each partition that is probed."""
+def choose(sample: np.ndarray, n: int, distance: int = DISTANCE, send: float = SEND, verify: float = VERIFY) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each partition that is probed; ``send``, ``verify``: costs of a key and of a candidate."""
     found = []
     for m in range(2, distance + 2):
         groups = bit_groups(sample, m)
-        costs = [[estimate(sample, g, t, n) for t in range(-1, distance + 1)] for g in groups]
+        costs = [[estimate(sample, g, t, n, send, verify) for t in range(-1, distance + 1)] for g in groups]
         chosen = allocate(costs, distance - m + 1)
         cost = sum(c[t + 1] for c, t in zip(costs, chosen, strict=True))
         found.append((cost, m, [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0]))
@@ -148,11 +158,17 @@ def choose(sample: np.ndarray, n: int, distance: int = DISTANCE) -> list[tuple[l
 # -- candidates and links -------------------------------------------------------
 
 
-def stars(fps: np.ndarray, home: np.ndarray, run: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def stars(fps: np.ndarray, home: np.ndarray, run: np.ndarray, distance: int, more: np.ndarray | None = None, in_all: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Verified links within runs of equal ``run`` (ascending); each run gives a spanning forest of its links.
 
-    Rows with ``home`` false only probe: two of them aren't compared.
+    Rows with ``home`` false only probe: two of them aren't compared.  ``more``: further
+    bits of each row; at most ``in_all`` of all bits may differ then.
     """
+
+    def close(x, y) -> np.ndarray:
+        d = np.bitwise_count(fps[x] ^ fps[y])
+        return d <= distance if more is None else (d <= distance) & (d + np.bitwise_count(more[x] ^ more[y]) <= in_all)
+
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(run)]])
     size = np.diff(cuts)
     out_a, out_b = [], []
@@ -165,12 +181,12 @@ def stars(fps: np.ndarray, home: np.ndarray, run: np.ndarray, distance: int) ->
         if not len(a):
             break
         b = a + gap
-        ok = (home[a] | home[b]) & (np.bitwise_count(fps[a] ^ fps[b]) <= distance) & (fps[a] != fps[b])
+        ok = (home[a] | home[b]) & close(a, b) & (fps[a] != fps[b])
         out_a.append(fps[a[ok]]), out_b.append(fps[b[ok]])
         gap += 1
     for k in np.flatnonzero(~short):
-        f = fps[cuts[k] : cuts[k + 1]]
-        h = home[cuts[k] : cuts[k + 1]]
+        here = slice(cuts[k], cuts[k + 1])
+        f, h = fps[here], home[here]
         # flood each cluster from its first member: a fingerprint is compared when it is taken from the queue
         left = np.ones(len(f), bool)
         for s in np.flatnonzero(h):
@@ -180,7 +196,7 @@ def stars(fps: np.ndarray, home: np.ndarray, run: np.ndarray, distance: int) ->
             queue = [s]
             while queue:
                 x = queue.pop()
-                hit = left & (np.bitwise_count(f ^ f[x]) <= distance)
+                hit = left & close(here, cuts[k] + x)
                 if not h[x]:
                     hit &= h
                 y = np.flatnonzero(hit)
@@ -192,25 +208,8 @@ def stars(fps: np.ndarray, home: np.ndarray, run: np.ndarray, distance: int) ->
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def links(distinct: DataFrame, n: int, sample: np.ndarray, distance: int = DISTANCE, crowded: int = CROWDED) -> DataFrame:
-    """(a, b): links of which the closure is that of all pairs within ``distance``; ``distinct`` has different fingerprints (fp)."""
-    parts = choose(sample, n, distance)
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = b.column(0).to_numpy().view(np.uint64)
-            for i, (group, t) in enumerate(parts):
-                v = values(fps, group)
-                for mask in near(len(group), t):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(fps), i, np.int32)), pa.array(v ^ mask), pa.array(fps.view(np.int64)), pa.array(np.full(len(fps), mask == 0))], ["part", "value", "fp", "home"]
-                    )
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = b.column(0).to_numpy().view(np.uint64)
-            for i, (group, _) in enumerate(parts):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), i, np.int32)), pa.array(values(fps, group))], ["part", "value"])
+def verify_runs(distance: int, in_all: int | None = None):
+    """A function that links the rows (part, value, fp, home and, for ``in_all``, fp2) of sorted batches, run by run."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -218,7 +217,9 @@ def links(distinct: DataFrame, n: int, sample: np.ndarray, distance: int = DISTA
         def solve(t: pa.Table) -> pa.RecordBatch:
             part, value = t.column("part").to_numpy(), t.column("value").to_numpy()
             new = np.concatenate([[True], (np.diff(part) != 0) | (np.diff(value) != 0)])
-            a, b = stars(t.column("fp").to_numpy().view(np.uint64), t.column("home").to_numpy(zero_copy_only=False), np.cumsum(new), distance)
+            fps, home = t.column("fp").to_numpy().view(np.uint64), t.column("home").to_numpy(zero_copy_only=False)
+            more = None if in_all is None else t.column("fp2").to_numpy().view(np.uint64)
+            a, b = stars(fps, home, np.cumsum(new), distance, more, in_all or 0)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for b in batches:
@@ -237,6 +238,29 @@ def links(distinct: DataFrame, n: int, sample: np.ndarray, distance: int = DISTA
         if held:
             yield solve(pa.Table.from_batches(held))
 
+    return verify
+
+
+def links(distinct: DataFrame, n: int, sample: np.ndarray, distance: int = DISTANCE, crowded: int = CROWDED) -> DataFrame:
+    """(a, b): links of which the closure is that of all pairs within ``distance``; ``distinct`` has different fingerprints (fp)."""
+    parts = choose(sample, n, distance)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = b.column(0).to_numpy().view(np.uint64)
+            for i, (group, t) in enumerate(parts):
+                v = values(fps, group)
+                for mask in near(len(group), t):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(fps), i, np.int32)), pa.array(v ^ mask), pa.array(fps.view(np.int64)), pa.array(np.full(len(fps), mask == 0))], ["part", "value", "fp", "home"]
+                    )
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = b.column(0).to_numpy().view(np.uint64)
+            for i, (group, _) in enumerate(parts):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), i, np.int32)), pa.array(values(fps, group))], ["part", "value"])
+
     counts = distinct.mapInArrow(own, "part int, value long").groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
     full = materialize(counts.where(F.col("n") > crowded).select("part", "value"), "crowded")
     sent = distinct.mapInArrow(keys, "part int, value long, fp long, home boolean")
@@ -244,7 +268,7 @@ def links(distinct: DataFrame, n: int, sample: np.ndarray, distance: int = DISTA
     any_full = full.limit(1).count() > 0
     if any_full:
         out = sent.join(full, ["part", "value"], "left_anti")
-    found = out.repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(verify, "a long, b long")
+    found = out.repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(verify_runs(distance), "a long, b long")
     if any_full:
         found = found.unionAll(midpoints(sent.join(full, ["part", "value"]), parts, distance))
     return found
@@ -305,21 +329,111 @@ def group(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Words in a shingle of the deduplicating stage.
-STAGE_SHINGLE = 5
+# -- similar texts --------------------------------------------------------------------
+
+#: The stage for similar texts: words in a shingle, least Jaccard similarity of the sets of shingles.
+STAGE_SHINGLE, SIMILARITY = 5, 0.8
+#: Bits that may differ in the fingerprint that is probed, and in it and a second one together.  At a similarity of
+#: 0.8 some 10 and 19 differ on average; 2 in 100 such pairs differ in more than 15, 4 in 100 in more than 26.
+STAGE_DISTANCE, STAGE_IN_ALL = 15, 26
+#: Bins of the sketch that similarity is measured with.  Sets of up to some hundred shingles are compared as they
+#: are; for longer ones a similarity of 0.8 is measured with a deviation of 0.025, so half of that is allowed for.
+BINS, SLACK = 256, 0.0125
+#: Costs of a key (it goes to two bands, and takes disk) and of a candidate (only a tenth of them share a band).
+STAGE_SEND, STAGE_VERIFY = 6.0, 0.001
+#: Sizes of sets in one band differ by less than this factor, so similar sets lie in one band or in neighbours.
+BAND = 1.25
 
 
-def keep_one(docs: DataFrame, *, distance: int = DISTANCE, shingle: int = STAGE_SHINGLE) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, that of the smallest doc_id; the columns of ``docs``.
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """One-permutation sketch of a set: of each bin the least hash, as 1 .. 255; 0 in an empty bin."""
+    least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, (hashes & np.uint64(BINS - 1)).astype(np.int64), hashes >> np.uint64(8))
+    return np.where(least == np.iinfo(np.uint64).max, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8)
 
-    Of repeated rows with that id and fingerprint one stays.  Rows without an id stay
-    only where no member of the group has one, one for each fingerprint.
+
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of equal bins among those that one of two sketches fills, row by row; 1 for two empty sets."""
+    used = ((a | b) != 0).sum(axis=1)
+    return np.where(used == 0, 1.0, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(used, 1))
+
+
+def profiles(docs: DataFrame) -> DataFrame:
+    """doc_id, h (a hash of the text), fp, fp2 (two fingerprints), n (different shingles) and sketch of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], [], []]
+            for t in b.column("text"):
+                h = shingle_hashes(t.as_py(), STAGE_SHINGLE)
+                second = (h ^ (h >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+                once = np.unique(h)
+                row = (majority(h), majority(second ^ (second >> np.uint64(28))), len(once), sketch(once).tobytes())
+                for column, x in zip(out, row, strict=True):
+                    column.append(x)
+            fp, fp2 = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in out[:2])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), fp, fp2, pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["doc_id", "h", "fp", "fp2", "n", "sketch"])
+
+    lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return lean.mapInArrow(run, "doc_id long, h long, fp long, fp2 long, n long, sketch binary")
+
+
+def similar_links(nodes: DataFrame, n: int, sample: np.ndarray) -> DataFrame:
+    """(a, b): links between fingerprints of similar texts; ``nodes`` is a written table (fp, fp2, n, sketch).
+
+    Keys carry the size band: a row is at home in its own band and probes the next one,
+    too.  The links of a run are a forest of pairs that are near in all bits; the sketches
+    then decide on each of them.
     """
-    names = {c: f"__{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    renamed = docs.select("doc_id", "text", *[F.col(c).alias(v) for c, v in names.items()])
-    rows = materialize(fingerprints(renamed, ("doc_id", "text", *names.values()), shingle), "fingerprinted")
-    groups = group(rows.select("doc_id", "fp"), distance)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.conv("fingerprint", 16, 10).alias("u")).distinct()
-    unsigned = F.conv(F.hex("fp"), 16, 10)
-    kept = rows.withColumns({"k": F.coalesce("doc_id", F.lit(0)), "u": unsigned}).join(first, ["k", "u"], "left_semi")
-    return kept.dropDuplicates(["k", "u"]).select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+    parts = choose(sample, n, STAGE_DISTANCE, STAGE_SEND, STAGE_VERIFY)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = b.column("fp").to_numpy().view(np.uint64)
+            band = np.floor(np.log(np.maximum(b.column("n").to_numpy(), 1)) / np.log(BAND)).astype(np.int64)
+            for i, (group, t) in enumerate(parts):
+                v = values(fps, group)
+                for mask in near(len(group), t):
+                    for up in (0, 1):
+                        home = np.full(len(fps), mask == 0 and up == 0)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), i, np.int32)), pa.array((band + up) << 32 | (v ^ mask)), b.column("fp"), b.column("fp2"), pa.array(home)], ["part", "value", "fp", "fp2", "home"])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
+                ok = pa.array(similarity(x, y) >= SIMILARITY - SLACK)
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
+
+    sent = nodes.select("fp", "fp2", "n").mapInArrow(keys, "part int, value long, fp long, fp2 long, home boolean")
+    found = sent.repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(verify_runs(STAGE_DISTANCE, STAGE_IN_ALL), "a long, b long")
+    found = materialize(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-links")
+    # an adaptive join splits a fingerprint that very many links name
+    both = found.join(nodes.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("sketch").alias("sb")), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(measure, "a long, b long")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of similar texts, that of the smallest doc_id; the columns of ``docs``.
+
+    Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8
+    or more, or the same fingerprint.  Of repeated rows with that id and text one stays.
+    Rows without an id stay only where no member of the group has one, one of them.
+    Texts without a word are alike.
+    """
+    rows = materialize(profiles(docs), "profiles")
+    chosen = F.min_by(F.struct("doc_id", "h", "fp2", "n", "sketch"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))).alias("x")
+    nodes = materialize(rows.groupBy("fp").agg(chosen).select("fp", "x.*"), "nodes")
+    n = nodes.count()
+    picked = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    sample = np.array([r["fp"] for r in picked], np.int64).view(np.uint64)
+    first = nodes.select("doc_id", "h")
+    if n > 1:
+        roots = components(similar_links(nodes, n, sample))
+        grouped = nodes.select("fp", "doc_id", "h").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))
+        first = grouped.groupBy("root").agg(F.min_by(F.struct("doc_id", "h"), order).alias("x")).select("x.*")
+    first = materialize(first.select(F.coalesce("doc_id", F.lit(0)).alias("__k"), "h", F.col("doc_id").isNull().alias("__none")).withColumnRenamed("h", "__h"), "first")
+    keyed = docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__h": F.xxhash64("text"), "__none": F.col("doc_id").isNull()})
+    kept = keyed.join(first, ["__k", "__h", "__none"], "left_semi")
+    return kept.dropDuplicates(["__k", "__h", "__none"]).select(*docs.columns)
