@@ -295,7 +295,8 @@ def dedup(docs: DataFrame, *, crowded: int = CROWDED) -> DataFrame:
     """
     spark = docs.sparkSession
     new = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
-    others = [c for c in docs.columns if c not in ("doc_id", "text", *new)]
+    names = {c: f"__{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text", *new)}
+    others = list(names.values())
     # rows are told apart by id and text; two rows that agree in both are copies anyway
     h = F.xxhash64("text", F.lit(1)).alias("__h")
     lean = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), h.alias("h"), "text")
@@ -311,7 +312,7 @@ def dedup(docs: DataFrame, *, crowded: int = CROWDED) -> DataFrame:
             z = pa.array([None if t is None else press.compress(t.encode()) for t in b.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([z if k == at else c for k, c in enumerate(b.columns)], b.schema.names)
 
-    carried = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), h, F.col("doc_id"), "text", *others)
+    carried = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), h, F.col("doc_id"), "text", *[F.col(c).alias(v) for c, v in names.items()])
     kinds = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in carried.schema)
     packed = carried.mapInArrow(shrink, kinds).repartition("__id", "__h")
 
@@ -361,4 +362,4 @@ def dedup(docs: DataFrame, *, crowded: int = CROWDED) -> DataFrame:
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for c in ("doc_id", *others) for f in [carried.schema[c]])
     result = packed.join(each, ["__id", "__h"], "left").mapInArrow(cut, f"{kinds}, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return result.select(*[c for c in docs.columns if c not in new], *new)
+    return result.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns if c not in new], *new)

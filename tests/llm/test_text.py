@@ -315,9 +315,9 @@ def test_dedup_equals_brute_force(spark, crowded):
     passage = text(60)
     texts = NASTY + [text(r.randrange(5, 150)) for _ in range(25)]
     texts += [text(r.randrange(1, 40)) + passage + text(r.randrange(1, 40)) for _ in range(8)] + [passage[:199], passage[:200], passage[3:203], "ab" * 300, "ab" * 150 + "c", texts[12], texts[12] + "!"]
-    d = docs(spark, texts).withColumn("n_spans", F.lit("clash")).select("doc_id", "n_spans", "text", "lang")
+    d = docs(spark, texts).withColumn("n_spans", F.lit("clash")).select("doc_id", "n_spans", "text", F.col("lang").alias("ranges"))
     out = suffix_dedup.dedup(d, crowded=crowded)
-    assert out.columns == ["doc_id", "text", "lang", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert out.columns == ["doc_id", "text", "ranges", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     got = by_id(out)
     assert [tuple(got[k][c] for c in out.columns[3:]) for k in range(len(texts))] == slow_dedup(texts)
     assert got[1]["text"] is None and got[3]["text"] == "one"
