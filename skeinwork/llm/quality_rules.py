@@ -110,18 +110,17 @@ def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: flo
     marks = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     held = rows.where(~F.col("base_failed")).join(marks, "doc_id")
     sums = [F.sum((per_mille(c) > x).cast("long")).alias(f"{rule}:{x}") for rule, (c, grid) in RULES.items() for x in grid]
-    each = held.groupBy("stratum", (F.col("quality") == 1).alias("good")).agg(F.count(F.lit(1)).alias("n"), *sums)
+    each = materialize(held.groupBy("stratum", (F.col("quality") == 1).alias("is_good")).agg(F.count(F.lit(1)).alias("n"), *sums), "quality-counts")
     grid = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(x).cast("long").alias("cutoff"), F.col(f"`{r}:{x}`").alias("k")) for r, (_, g) in RULES.items() for x in g])
-    flat = each.select("stratum", "good", "n", F.explode(grid).alias("g")).select("stratum", "good", "n", "g.*")
+    flat = each.select("stratum", "is_good", "n", F.explode(grid).alias("g")).select("stratum", "is_good", "n", "g.*")
     both = flat.groupBy("stratum", "rule", "cutoff").agg(
-        F.coalesce(F.sum(F.when(F.col("good"), F.col("n"))), F.lit(0)).alias("good"),
-        F.coalesce(F.sum(F.when(F.col("good"), F.col("k"))), F.lit(0)).alias("lost"),
-        F.coalesce(F.sum(F.when(~F.col("good"), F.col("k"))), F.lit(0)).alias("taken"),
+        F.coalesce(F.sum(F.when(F.col("is_good"), F.col("n"))), F.lit(0)).alias("good"),
+        F.coalesce(F.sum(F.when(F.col("is_good"), F.col("k"))), F.lit(0)).alias("lost"),
+        F.coalesce(F.sum(F.when(~F.col("is_good"), F.col("k"))), F.lit(0)).alias("taken"),
     )
-    tests = each.agg((F.count_distinct("stratum") * sum(len(g) for _, g in RULES.values())).alias("tests"))
+    tests = each.select("stratum").distinct().count() * sum(len(g) for _, g in RULES.values())
     p = at_most(F.col("good"), F.col("lost"), alpha / len(RULES))
-    # one row: the number of tests
-    fine = both.join(F.broadcast(tests), F.lit(True)).where((F.col("taken") > 0) & (p * F.col("tests") <= delta))
+    fine = both.where((F.col("taken") > 0) & (p * tests <= delta))
     best = F.max_by(F.struct("cutoff", "good", "lost", "taken"), F.struct("taken", "cutoff")).alias("b")
     return fine.groupBy("stratum", "rule").agg(best).select("stratum", "rule", "b.*")
 
