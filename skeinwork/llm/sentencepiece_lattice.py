@@ -148,35 +148,44 @@ def lattice(distinct: DataFrame, model: Model) -> DataFrame:
     edges = cuts.join(F.broadcast(table), F.col("cut") == F.col("piece"), "left").where(F.col("id").isNotNull() | (F.col("w") == 1))
     end, score = (F.col("s") + F.col("w")).alias("e"), F.coalesce("score", F.lit(model.floor))
     tail = [F.col("s"), F.coalesce("id", -2 - F.ascii("cut")).alias("id")]
-    if model.bpe:
-        edges = edges.withColumns({"lo": F.expr("shiftleft(1L, s)"), "hi": F.expr("shiftleft(1L, s + w)")})
-        edge = F.struct((-score).alias("cost"), *tail, end, (F.col("lo") + F.col("hi")).alias("ends"), (F.col("hi") - F.col("lo") * 2).alias("inner"))
-        path = fold_merges(F.col("edges"), F.length("unit"))
-    else:
+    if not model.bpe:
         edge = F.struct(end, *tail, score.alias("score"))
-        path = fold_viterbi(F.col("edges"))
-    return edges.groupBy("uid", "unit").agg(F.sort_array(F.collect_list(edge)).alias("edges")).select("unit", path.alias("path"))
+        return edges.groupBy("uid", "unit").agg(F.sort_array(F.collect_list(edge)).alias("edges")).select("unit", fold_viterbi(F.col("edges")).alias("path"))
+    edges = edges.withColumns({"lo": F.expr("shiftleft(1L, s)"), "hi": F.expr("shiftleft(1L, s + w)")})
+    longer = F.struct((-score).alias("cost"), *tail, end, (F.col("lo") + F.col("hi")).alias("ends"), (F.col("hi") - F.col("lo") * 2).alias("inner"))
+    # collect_list leaves nulls out: edges of one character name the symbols, longer ones are merges
+    lists = {"ones": F.struct(*tail), "more": longer}
+    kinds = {k: F.sort_array(F.collect_list(F.when((F.col("w") == 1) == (k == "ones"), v))).alias(k) for k, v in lists.items()}
+    return edges.groupBy("uid", "unit").agg(*kinds.values()).select("unit", fold_merges(F.col("ones"), F.col("more"), F.length("unit")).alias("path"))
 
 
-def fold_merges(edges: Column, n: Column) -> Column:
-    """BPE over edges (cost, s, id, e, ends, inner) in order of cost and start.  ends: bits of both ends; inner: bits between them."""
+def fold_merges(ones: Column, more: Column, n: Column) -> Column:
+    """BPE over edges ``more`` (cost, s, id, e, ends, inner) in order of cost and start; ``ones`` (s, id) are the n symbols.
+
+    ends: bits of both ends of an edge; inner: bits between them.  An edge may be merged
+    if its ends are boundaries and one boundary lies between them.
+    """
 
     def step(bits: Column, _: Column) -> Column:
-        may = F.get(F.filter(edges, lambda x: (bits.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(bits.bitwiseAND(x["inner"])) == 1)), F.lit(0))
-        return F.when(may.isNull(), bits).otherwise(bits.bitwiseAND(F.bitwise_not(F.coalesce(may["inner"], F.lit(0).cast("long")))))
+        may = F.filter(more, lambda x: (F.bit_count(bits.bitwiseAND(x["inner"])) == 1) & (bits.bitwiseAND(x["ends"]) == x["ends"]))
+        return bits.bitwiseAND(F.bitwise_not(F.coalesce(F.get(may, F.lit(0))["inner"], F.lit(0).cast("long"))))
 
     def ids(bits: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), n), lambda k: F.call_function("shiftright", bits, k).bitwiseAND(1) == 1)
 
         def named(p: Column) -> Column:
-            each = F.transform(p, lambda s, k: F.get(F.filter(edges, lambda x: (x["s"] == s) & (x["e"] == F.get(p, k + 1))), F.lit(0))["id"])
-            return F.slice(each, 1, F.size(p) - 1)
+            def one(s: Column, k: Column) -> Column:
+                e = F.get(p, k + 1)
+                long = F.filter(more, lambda x: (x["s"] == s) & (x["e"] == e))
+                return F.when(e == s + 1, F.get(ones, s)["id"]).otherwise(F.get(long, F.lit(0))["id"])
+
+            return F.transform(F.slice(p, 1, F.size(p) - 1), one)
 
         return F.transform(F.array(at), named)[0]
 
     start = F.call_function("shiftleft", F.lit(2).cast("long"), n) - 1  # every position is a boundary
-    rounds = F.slice(F.sequence(F.lit(0), n), 2, n - 1)
-    return F.aggregate(rounds, start, step, ids)
+    rounds = F.slice(F.sequence(F.lit(0), n), 2, F.least(n - 1, F.size(more)))
+    return F.when(F.size(more) == 0, F.transform(ones, lambda x: x["id"])).otherwise(F.aggregate(rounds, start, step, ids))
 
 
 def fold_viterbi(edges: Column) -> Column:
