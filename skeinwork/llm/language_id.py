@@ -21,6 +21,7 @@ from skeinwork.llm.common import fold_of, held_out, segment_sum, slices, string_
 N = 4
 #: Documents that are learnt from, for each language at most (the bound of the fit).
 DOCUMENTS_PER_LANGUAGE = 400
+SHARES = 16
 #: An n-gram belongs to each language that has it this often at least, as a share of the language that has it most.
 LEAST_SHARE = 0.2
 #: Documents of a language that an n-gram must occur in (1 while there are under 20).
@@ -108,8 +109,11 @@ def fit(docs: DataFrame, *, most: int = DOCUMENTS_PER_LANGUAGE) -> Filters:
     At most ``most`` documents of a language are used, chosen by a hash of the id, whole.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold_of(F.col("doc_id")) != 1)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    by = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = [r["doc_id"] for r in rows.withColumn("r", F.row_number().over(by)).where(F.col("r") <= most).select("doc_id").collect()]
+    # first within shares of a language, so that what meets in one task doesn't grow with the table
+    for keys in (["lang", F.pmod("h", F.lit(SHARES))], ["lang"]):
+        by = Window.partitionBy(*keys).orderBy("h", "doc_id")
+        rows = rows.withColumn("r", F.row_number().over(by)).where(F.col("r") <= most).drop("r")
+    chosen = [r["doc_id"] for r in rows.select("doc_id").collect()]
     texts: dict[str, list[str]] = {}
     if chosen:
         for r in docs.where(F.col("doc_id").isin(chosen) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text").toLocalIterator():
