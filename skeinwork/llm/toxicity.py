@@ -238,10 +238,9 @@ def curve(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return np.array([*(b[:-1] / scale), b[-1]])
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of labelled rows outside the held-out fold; of several labels of a document the greatest counts."""
-    marks = labels.where(F.col("toxic").isNotNull() & (fold_of(F.col("doc_id")) != 1)).groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("toxic"))
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(marks, "doc_id")
+def marks(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic (0 or 1) outside the held-out fold; of several labels of a document the greatest counts."""
+    return labels.where(F.col("toxic").isNotNull() & (fold_of(F.col("doc_id")) != 1)).groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, most: int = CURVE_DOCUMENTS) -> Model:
@@ -258,7 +257,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = CURVE_DOCUMENTS) -> M
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(names), pa.array(raws, pa.binary())], ["chunk", "name", "raw"])
 
     kinds = "chunk long, name string, raw binary"
-    rows = labelled(docs, labels)
+    # held-out texts don't enter the shuffle; the join is the same at every size
+    learnable = docs.where(F.col("text").isNotNull() & (fold_of(F.col("doc_id")) != 1))
+    rows = learnable.select("doc_id", "text").join(marks(labels).hint("merge"), "doc_id")
     tables = {k: np.zeros(1 << b, np.uint32) for k, (b, _) in TABLES.items()}
     # at most CHUNKS rows for each table of a fixed size
     for r in rows.select("text", "toxic").mapInArrow(count, kinds).repartition("chunk").mapInArrow(merge, kinds).toLocalIterator():
@@ -266,11 +267,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = CURVE_DOCUMENTS) -> M
         tables[r["name"]][r["chunk"] * len(part) : (r["chunk"] + 1) * len(part)] = part
     out = model(tables)
     if out.prior is None:
-        x, y = [], []
+        known, chosen = learnable.select("doc_id").join(marks(labels), "doc_id"), {}
         for c in (0, 1):
-            for r in rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text").toLocalIterator():
+            chosen |= {r["doc_id"]: c for r in known.where(F.col("toxic") == c).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()}
+        inputs: dict[int, np.ndarray] = {}
+        for r in learnable.where(F.col("doc_id").isin(list(chosen))).select("doc_id", "text").toLocalIterator():
+            if r["doc_id"] not in inputs:
                 data = np.frombuffer(r["text"].encode(), np.uint8)
-                x.append(out.inputs(np.array([0, len(data)]), data, own=c)[0]), y.append(c)
+                inputs[r["doc_id"]] = out.inputs(np.array([0, len(data)]), data, own=chosen[r["doc_id"]])[0]
+        ids = sorted(inputs)
+        x, y = [inputs[k] for k in ids], [chosen[k] for k in ids]
         out.curve = curve(np.array(x), np.array(y))
     return out
 
