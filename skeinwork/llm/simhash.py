@@ -33,6 +33,8 @@ SAMPLE = 20_000
 CROWDED = 100_000
 #: Relative costs of a key that is sent and of a candidate that is verified; most keys of a fingerprint in a partition.
 SEND, VERIFY, MOST_KEYS = 1.0, 0.01, 300
+#: All pairs are compared in runs of up to so many rows; longer ones pass on a spanning forest.
+SHORT = 32
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 0x20 if b in SEPARATORS else b for b in range(256))
 
@@ -158,87 +160,170 @@ def choose(sample: np.ndarray, n: int, distance: int = DISTANCE, send: float = S
 # -- candidates and links -------------------------------------------------------
 
 
-def stars(fps: np.ndarray, home: np.ndarray, run: np.ndarray, distance: int, more: np.ndarray | None = None, in_all: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def stars(fps: np.ndarray, home: np.ndarray, run: np.ndarray, distance: int, more: np.ndarray | None = None, in_all: int = 0, sketches: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Verified links within runs of equal ``run`` (ascending); each run gives a spanning forest of its links.
 
     Rows with ``home`` false only probe: two of them aren't compared.  ``more``: further
-    bits of each row; at most ``in_all`` of all bits may differ then.
+    bits of each row; at most ``in_all`` of all bits may differ then.  ``sketches``: those
+    of the rows; links are similar by them, too.
     """
-
-    def close(x, y) -> np.ndarray:
-        d = np.bitwise_count(fps[x] ^ fps[y])
-        return d <= distance if more is None else (d <= distance) & (d + np.bitwise_count(more[x] ^ more[y]) <= in_all)
-
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(run)]])
     size = np.diff(cuts)
     out_a, out_b = [], []
     # short runs: all pairs at a fixed gap at once
-    gap = 1
-    short = size <= 32
-    in_short = np.repeat(short, size)
-    while True:
-        a = np.flatnonzero(in_short[:-gap] & (run[:-gap] == run[gap:])) if len(run) > gap else np.zeros(0, np.int64)
+    a, b = short_pairs(fps, home, run, size, distance, more, in_all)
+    if sketches is not None and len(a):
+        ok = similarity(sketches[a], sketches[b]) >= SIMILARITY - SLACK
+        a, b = a[ok], b[ok]
+    out_a.append(fps[a]), out_b.append(fps[b])
+    for k in np.flatnonzero(size > SHORT):
+        # flood each cluster from its first member
+        for tree in flood(slice(cuts[k], cuts[k + 1]), fps, home, distance, more, in_all, sketches):
+            for x, y in tree:
+                out_a.append(np.full(len(y), fps[x])), out_b.append(fps[y])
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def close(x, y, fps: np.ndarray, distance: int, more: np.ndarray | None, in_all: int) -> np.ndarray:
+    d = np.bitwise_count(fps[x] ^ fps[y])
+    return d <= distance if more is None else (d <= distance) & (d + np.bitwise_count(more[x] ^ more[y]) <= in_all)
+
+
+def short_pairs(fps: np.ndarray, home: np.ndarray, run: np.ndarray, size: np.ndarray, distance: int, more: np.ndarray | None, in_all: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of all close pairs in runs of up to SHORT rows."""
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    in_short = np.repeat(size <= SHORT, size)
+    for gap in range(1, min(SHORT, len(run))):
+        a = np.flatnonzero(in_short[:-gap] & (run[:-gap] == run[gap:]))
         if not len(a):
             break
         b = a + gap
-        ok = (home[a] | home[b]) & close(a, b) & (fps[a] != fps[b])
-        out_a.append(fps[a[ok]]), out_b.append(fps[b[ok]])
-        gap += 1
-    for k in np.flatnonzero(~short):
-        here = slice(cuts[k], cuts[k + 1])
-        f, h = fps[here], home[here]
-        # flood each cluster from its first member: a fingerprint is compared when it is taken from the queue
-        left = np.ones(len(f), bool)
-        for s in np.flatnonzero(h):
-            if not left[s]:
-                continue
-            left[s] = False
-            queue = [s]
-            while queue:
-                x = queue.pop()
-                hit = left & close(here, cuts[k] + x)
-                if not h[x]:
-                    hit &= h
-                y = np.flatnonzero(hit)
-                left[y] = False
-                out_a.append(np.full(len(y), f[x])), out_b.append(f[y])
-                queue.extend(y.tolist())
-    if not out_a:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        ok = (home[a] | home[b]) & close(a, b, fps, distance, more, in_all) & (fps[a] != fps[b])
+        out_a.append(a[ok]), out_b.append(b[ok])
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def verify_runs(distance: int, in_all: int | None = None):
-    """A function that links the rows (part, value, fp, home and, for ``in_all``, fp2) of sorted batches, run by run."""
+def flood(here: slice, fps: np.ndarray, home: np.ndarray, distance: int, more: np.ndarray | None, in_all: int, sketches: np.ndarray | None = None) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The clusters of a run that have links, each as a tree: (row, rows reached from it), the first member first.
+
+    A row is compared when it is taken from the queue, and only what a verified link reaches is marked.
+    """
+    left = np.arange(here.start, here.stop)
+    for s in left[home[here]]:
+        at = np.searchsorted(left, s)
+        if at == len(left) or left[at] != s:
+            continue
+        left, tree, queue = np.delete(left, at), [], [int(s)]
+        while queue and len(left):
+            x = queue.pop()
+            hit = close(left, x, fps, distance, more, in_all)
+            if not home[x]:
+                hit &= home[left]
+            if sketches is not None:
+                hit[hit] = similarity(sketches[left[hit]], sketches[x]) >= SIMILARITY - SLACK
+            y = left[hit]
+            if len(y):
+                left = left[~hit]
+                tree.append((x, y))
+                queue.extend(y.tolist())
+        if tree:
+            yield tree
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def solve(t: pa.Table) -> pa.RecordBatch:
-            part, value = t.column("part").to_numpy(), t.column("value").to_numpy()
-            new = np.concatenate([[True], (np.diff(part) != 0) | (np.diff(value) != 0)])
-            fps, home = t.column("fp").to_numpy().view(np.uint64), t.column("home").to_numpy(zero_copy_only=False)
-            more = None if in_all is None else t.column("fp2").to_numpy().view(np.uint64)
-            a, b = stars(fps, home, np.cumsum(new), distance, more, in_all or 0)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+def sorted_runs(solve, keys: tuple[str, ...]):
+    """A function that hands ``solve`` the rows of batches sorted by ``keys``, as tables of whole runs."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
             if b.num_rows == 0:
                 continue
-            part, value = b.column("part").to_numpy(), b.column("value").to_numpy()
+            own = [b.column(k).to_numpy() for k in keys]
             # everything before the last run of this batch is complete
-            cut = int(np.flatnonzero((part != part[-1]) | (value != value[-1]))[-1]) + 1 if (part[0] != part[-1] or value[0] != value[-1]) else 0
-            if cut:
+            other = np.flatnonzero(np.any([x != x[-1] for x in own], axis=0))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if held and (cut or any(held[-1].column(k)[-1].as_py() != int(x[0]) for k, x in zip(keys, own, strict=True))):
                 yield solve(pa.Table.from_batches([*held, b.slice(0, cut)]))
                 held = []
-            elif held and (held[-1].column("value")[-1].as_py(), held[-1].column("part")[-1].as_py()) != (int(value[0]), int(part[0])):
-                yield solve(pa.Table.from_batches(held))
-                held = []
+            elif cut:
+                yield solve(pa.Table.from_batches([b.slice(0, cut)]))
             held.append(b.slice(cut))
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    return verify
+    return run
+
+
+def starts(t: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
+    """The number of each row's run."""
+    return np.cumsum(np.concatenate([[True], np.any([np.diff(t.column(k).to_numpy()) != 0 for k in keys], axis=0)]))
+
+
+def columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """fp, home and, if there is one, fp2."""
+    more = t.column("fp2").to_numpy().view(np.uint64) if "fp2" in t.column_names else None
+    return t.column("fp").to_numpy().view(np.uint64), t.column("home").to_numpy(), more
+
+
+def verify_runs(distance: int):
+    """A function that links the rows (part, value, fp, home) of sorted batches, run by run."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        fps, home, _ = columns(t)
+        a, b = stars(fps, home, starts(t, ("part", "value")), distance)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    return sorted_runs(solve, ("part", "value"))
+
+
+def candidate_runs(distance: int, in_all: int):
+    """A function that finds what is near in all bits, for sketches to decide on, in the rows (part, value, fp, fp2, home) of sorted batches.
+
+    Near pairs of clusters of up to SHORT rows come as (a, b).  Larger clusters come as
+    their rows: run (a number of the cluster), a (fp), fp2 and home.  No link of a run
+    leaves its cluster, as near in all bits is the weaker test.
+    """
+    names = ["run", "a", "b", "fp2", "home"]
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        fps, home, more = columns(t)
+        run = starts(t, ("part", "value"))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(run)]])
+        size = np.diff(cuts)
+        a, b = short_pairs(fps, home, run, size, distance, more, in_all)
+        found_a, found_b, rows, cluster = [a], [b], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        part, value = t.column("part").to_numpy(), t.column("value").to_numpy()
+        for k in np.flatnonzero(size > SHORT):
+            for tree in flood(slice(cuts[k], cuts[k + 1]), fps, home, distance, more, in_all):
+                own = np.sort(np.concatenate([[tree[0][0]], *(y for _, y in tree)]))
+                if len(own) <= SHORT:
+                    a, b = (own[i] for i in np.triu_indices(len(own), 1))
+                    ok = (home[a] | home[b]) & close(a, b, fps, distance, more, in_all)
+                    found_a.append(a[ok]), found_b.append(b[ok])
+                else:
+                    name = xxhash.xxh64_intdigest(np.array([part[own[0]], value[own[0]], tree[0][0] - cuts[k]], np.int64).tobytes())
+                    rows.append(own), cluster.append(np.full(len(own), np.array(name, np.uint64).view(np.int64)))
+        a, b, own, number = (np.concatenate(x) for x in (found_a, found_b, rows, cluster))
+        fp, none = fps.view(np.int64), np.zeros(len(a), bool)
+        is_pair = np.arange(len(a) + len(own)) < len(a)
+        row = lambda pair, single, mask: pa.array(np.concatenate([pair, single]), mask=mask)
+        return pa.RecordBatch.from_arrays(
+            [row(a, number, is_pair), row(fp[a], fp[own], None), row(fp[b], own, ~is_pair), row(a, more.view(np.int64)[own], is_pair), row(none, home[own], is_pair)], names
+        )
+
+    return sorted_runs(solve, ("part", "value"))
+
+
+def similar_runs(distance: int, in_all: int):
+    """A function that links the rows (run, fp, fp2, home, sketch) of sorted batches by bits and sketches, run by run."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        fps, home, more = columns(t)
+        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        a, b = stars(fps, home, starts(t, ("run",)), distance, more, in_all, sketches)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    return sorted_runs(solve, ("run",))
 
 
 def links(distinct: DataFrame, n: int, sample: np.ndarray, distance: int = DISTANCE, crowded: int = CROWDED) -> DataFrame:
@@ -354,8 +439,9 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of equal bins among those that one of two sketches fills, row by row; 1 for two empty sets."""
-    used = ((a | b) != 0).sum(axis=1)
-    return np.where(used == 0, 1.0, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(used, 1))
+    used = np.count_nonzero(a | b, axis=1)
+    # bins that are empty in both are equal, too
+    return np.where(used == 0, 1.0, (np.count_nonzero(a == b, axis=1) - (BINS - used)) / np.maximum(used, 1))
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -382,8 +468,8 @@ def similar_links(nodes: DataFrame, n: int, sample: np.ndarray) -> DataFrame:
     """(a, b): links between fingerprints of similar texts; ``nodes`` is a written table (fp, fp2, n, sketch).
 
     Keys carry the size band: a row is at home in its own band and probes the next one,
-    too.  The links of a run are a forest of pairs that are near in all bits; the sketches
-    then decide on each of them.
+    too.  Near pairs of small clusters meet their sketches one by one; the rows of larger
+    clusters take their sketches with them, and pass on a forest of verified links.
     """
     parts = choose(sample, n, STAGE_DISTANCE, STAGE_SEND, STAGE_VERIFY)
 
@@ -406,11 +492,15 @@ def similar_links(nodes: DataFrame, n: int, sample: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
     sent = nodes.select("fp", "fp2", "n").mapInArrow(keys, "part int, value long, fp long, fp2 long, home boolean")
-    found = sent.repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(verify_runs(STAGE_DISTANCE, STAGE_IN_ALL), "a long, b long")
-    found = materialize(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-links")
+    found = sent.repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(candidate_runs(STAGE_DISTANCE, STAGE_IN_ALL), "run long, a long, b long, fp2 long, home boolean")
+    found = materialize(found, "near-links")
+    pairs = found.where(F.col("run").isNull()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     # an adaptive join splits a fingerprint that very many links name
-    both = found.join(nodes.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("sketch").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(measure, "a long, b long")
+    both = pairs.join(nodes.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("sketch").alias("sb")), "b")
+    small = both.select("a", "b", "sa", "sb").mapInArrow(measure, "a long, b long")
+    members = found.where(F.col("run").isNotNull()).select("run", F.col("a").alias("fp"), "fp2", "home").join(nodes.select("fp", "sketch"), "fp")
+    large = members.select("run", "fp", "fp2", "home", "sketch").repartition("run").sortWithinPartitions("run").mapInArrow(similar_runs(STAGE_DISTANCE, STAGE_IN_ALL), "a long, b long")
+    return small.unionAll(large)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
