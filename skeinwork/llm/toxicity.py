@@ -6,7 +6,7 @@ back off to discounted unigrams of the same class, and these to continuation
 counts (distinct documents, the contexts here) *shared* by both classes.  Both
 classes hand the same share of their counts on, so an expression that is rare in
 both adds next to nothing to the difference.  The log-likelihoods are
-divided by the number of different words; a logistic curve over that difference and over the
+divided by the number of different pairs of a word and the one before; a logistic curve over that difference and over the
 part of it that single words with a great difference bring, fitted without each
 document's own counts, gives the score.
 
@@ -194,9 +194,9 @@ class Model:
         """Of each row: the mean difference; the mean and (as log1p) the sum of what words have over STRONG."""
         h, first = words(off, data)
         before, both = pairs(h, first)
-        # the first of equal words of a document stands for all of them
+        # the first of equal pairs of a document stands for all of them
         row = np.repeat(np.arange(len(off) - 1, dtype=np.uint64), np.diff(first))
-        at = np.sort(np.unique(mixed(h + row * MIX), return_index=True)[1])
+        at = np.sort(np.unique(mixed(both + row * MIX), return_index=True)[1])
         first = np.searchsorted(at, first)
         d = self.differences(word_slot(h[at]), word_slot(before[at]), pair_slot(both[at]), own) if len(at) else np.zeros(0)
         n = np.diff(first)

@@ -1,0 +1,22 @@
+import numpy as np
+
+from skeinwork.llm import toxicity
+
+
+def counted(texts, toxic):
+    raw = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    counts = toxicity.Counts()
+    counts.add(off, np.frombuffer(b"".join(raw), np.uint8), np.array(toxic))
+    return {k: np.packbits(x, bitorder="little").view("<u4") if k.endswith("_maps") else x for k, x in counts.t.items()}
+
+
+def test_late_pairs_of_known_words_are_scored():
+    words = [f"w{k}" for k in range(40)]
+    plain, shuffled = " ".join(words), " ".join(words[::2] + words[1::2])
+    m = toxicity.model(counted([plain] * 30 + [shuffled] * 30, [0] * 30 + [1] * 30))
+    inputs = lambda t: m.inputs(np.array([0, len(t)]), np.frombuffer(t.encode(), np.uint8))[0]
+    # every word of the late passage stands in the harmless one before it
+    assert inputs(f"{plain} {shuffled}")[1] > inputs(plain)[1] + 0.1
+    # pairs that recur count once
+    assert np.allclose(inputs(f"w0 {plain} w0 {plain}"), inputs(f"w0 {plain} w0 {plain} w0 {plain}"))
