@@ -168,16 +168,6 @@ def test_toxicity(spark):
     assert {x["score"] for x in none.values()} == {0.0}
 
 
-def test_toxicity_words():
-    texts = ["The cat", "", "a1 é—B", "x"]
-    raw = [t.encode() for t in texts]
-    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    h, first = toxicity.words(off, np.frombuffer(b"".join(raw), np.uint8))
-    assert list(np.diff(first)) == [2, 0, 2, 1]
-    alone = [toxicity.words(np.array([0, len(r)]), np.frombuffer(r, np.uint8))[0] for r in raw]
-    assert (np.concatenate(alone) == h).all() and len(set(h.tolist())) == 5
-
-
 # -- search ---------------------------------------------------------------------------------
 
 
