@@ -29,17 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import fold_of, held_out, materialize, segment_sum, slices, string_buffers
+from skeinwork.llm.common import fold_of, held_out, materialize, segment_sum, slices, string_buffers, work_dir
 
 #: Bytes of an n-gram; six fit a long without loss.
 ORDER = 6
 #: Share of a toxic document's words that the toxic model draws.
 SHARE = 0.01
 #: Bytes and rows of a slice, about; bytes that are cut into words at a time.
-SLICE_BYTES, SLICE_ROWS, WORK_BYTES = 1 << 24, 1 << 15, 1 << 21
+SLICE_BYTES, SLICE_ROWS, WORK_BYTES = 1 << 23, 1 << 15, 1 << 20
 #: Labelled documents of each class that the curve is fitted to, at most (the bound of the fit).
 CURVE_DOCUMENTS = 1500
 #: The curve is fitted to one of so many parts of the training documents.
@@ -55,6 +56,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values in rising order."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def plain(text: Column) -> Column:
     """The words of a text with one space between them (a null text: none)."""
     return F.coalesce(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " "), F.lit(""))
@@ -104,7 +111,7 @@ class Slice:
         starts, lengths = word_starts(off, data)
         hashes, first, number = np.unique(word_hashes(data, starts, lengths), return_index=True, return_inverse=True)
         rows = np.searchsorted(off, starts, side="right") - 1
-        pairs = np.unique((row + rows).astype(np.int64) << 32 | number)
+        pairs = distinct((row + rows).astype(np.int64) << 32 | number)
         self.seen.append((hashes, lengths[first], gathered(data, starts[first], lengths[first]), pairs >> 32, pairs & 0xFFFFFFFF))
         self.bytes += len(data)
 
@@ -114,16 +121,19 @@ class Slice:
         raw = np.concatenate([s[2] for s in self.seen])
         starts = np.cumsum(lengths) - lengths
         before = np.cumsum([0, *(len(s[0]) for s in self.seen)])
-        pairs = np.concatenate([s[3] << 32 | number[s[4] + b] for s, b in zip(self.seen, before, strict=False)])
-        pairs = np.unique(pairs)
-        rows, words = pairs >> 32, pairs & 0xFFFFFFFF
+        rows, words = np.concatenate([s[3] for s in self.seen]), np.concatenate([number[s[4] + b] for s, b in zip(self.seen, before, strict=False)])
+        # frequent words get small numbers
+        order = np.argsort(-np.bincount(words, minlength=len(hashes)), kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        pairs = distinct(rows << 32 | rank[words])
+        rows, words, first = pairs >> 32, pairs & 0xFFFFFFFF, first[order]
         step = np.diff(words, prepend=0)
         new = np.flatnonzero(np.diff(rows, prepend=-1))
         step[new] = words[new]
-        return {
-            "slice": uuid.uuid4().hex, "ids": self.ids, "sizes": np.bincount(rows, minlength=len(self.ids)).astype("<u4").tobytes(), "steps": step.astype("<u4").tobytes(),
-            "lengths": lengths[first].astype("<u4").tobytes(), "words": gathered(raw, starts[first], lengths[first]).tobytes(),
-        }
+        packed = {"sizes": np.bincount(rows, minlength=len(self.ids)).astype("<u4"), "steps": step.astype("<u4"), "lengths": lengths[first].astype("<u4"), "words": gathered(raw, starts[first], lengths[first])}
+        zip_ = zstandard.ZstdCompressor(3)
+        return {"slice": uuid.uuid4().hex, "ids": self.ids} | {k: zip_.compress(v.tobytes()) for k, v in packed.items()}
 
 
 def pieces(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
@@ -145,6 +155,7 @@ class Spelling:
     """What a slice's record holds, and the n-grams of its words."""
 
     def __init__(self, sizes: bytes, steps: bytes, lengths: bytes, words: bytes) -> None:
+        sizes, steps, lengths, words = map(zstandard.ZstdDecompressor().decompress, (sizes, steps, lengths, words))
         self.sizes = np.frombuffer(sizes, "<u4").astype(np.int64)
         self.off = np.concatenate([[0], np.cumsum(self.sizes)])
         step = np.frombuffer(steps, "<u4").astype(np.int64)
@@ -176,6 +187,14 @@ def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Spelling]
             yield row, Spelling(*(row[x] for x in BINARIES))
 
 
+def in_buckets(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` written in buckets of ``key`` to the shared folder: joins on the key don't shuffle it again."""
+    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(n, key).option("path", work_dir(spark, name)).saveAsTable(name)
+    return spark.read.table(name)
+
+
 def sliced(docs: DataFrame) -> DataFrame:
     """slice, ids, and the packed words of (doc_id, text), in slices; null ids are kept."""
     kind = docs.schema["doc_id"].dataType
@@ -206,7 +225,7 @@ def sliced(docs: DataFrame) -> DataFrame:
             yield out(part)
 
     kinds = f"slice string, ids array<{kind.simpleString()}>, " + ", ".join(f"{x} binary" for x in BINARIES)
-    return materialize(docs.select("doc_id", plain(F.col("text")).alias("words")).mapInArrow(run, kinds), "toxicity-slices")
+    return in_buckets(docs.select("doc_id", plain(F.col("text")).alias("words")).mapInArrow(run, kinds), "slice", "toxicity_slices")
 
 
 def marks(labels: DataFrame) -> DataFrame:
@@ -298,8 +317,8 @@ def evidence(counts: DataFrame) -> DataFrame:
     return materialize(grouped, "toxicity-evidence")
 
 
-def measured(parts: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, a_mean, a_root, b_mean, b_root of every document: its summed difference by the number of its words, and by the root of that."""
+def measured(parts: DataFrame, known: DataFrame, version: str = "a") -> DataFrame:
+    """doc_id, mean, root of every document: its summed difference by the number of its words, and by the root of that."""
     kind = parts.schema["ids"].dataType.elementType.simpleString()
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,10 +334,8 @@ def measured(parts: DataFrame, known: DataFrame) -> DataFrame:
     need = parts.select("slice", *BINARIES).mapInArrow(contexts, "slice string, context long, first int, follow array<smallint>")
     found = need.join(known, "context")
 
-    def of(v: str) -> Column:
-        return F.transform("follow", lambda x: F.coalesce(F.col("bytes")[x.cast("int")][v], F.col(f"{v}_rest"))).alias(v)
-
-    back = found.select("slice", F.struct("first", of("a"), of("b")).alias("one")).groupBy("slice").agg(F.collect_list("one").alias("known"))
+    values = F.transform("follow", lambda x: F.coalesce(F.col("bytes")[x.cast("int")][version], F.col(f"{version}_rest")))
+    back = found.select("slice", F.struct("first", values.alias("values")).alias("one")).groupBy("slice").agg(F.collect_list("one").alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -328,20 +345,17 @@ def measured(parts: DataFrame, known: DataFrame) -> DataFrame:
                 s = Spelling(*(row[x] for x in BINARIES))
                 own = one.column("known").flatten()  # the structs of this row; none for a null
                 first = own.field("first").to_numpy(zero_copy_only=False).astype(np.int64)
-                out: list[np.ndarray] = []
-                for v in "ab":
-                    lists = own.field(v)
-                    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                    each = np.zeros(len(s.grams))
-                    each[np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)] = lists.flatten().to_numpy(zero_copy_only=False)
-                    ratio = np.bincount(s.word, each[s.at], minlength=int(s.word[-1]) + 1 if len(s.word) else 0)
-                    word = np.log1p(SHARE * np.expm1(np.minimum(ratio, 50)))
-                    total = segment_sum(word[s.numbers], s.off)
-                    out += [total / np.maximum(s.sizes, 1), total / np.sqrt(np.maximum(s.sizes, 1))]
-                yield pa.RecordBatch.from_arrays([one.column("ids").flatten(), *map(pa.array, out)], ["doc_id", "a_mean", "a_root", "b_mean", "b_root"])
+                lists = own.field("values")
+                size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                each = np.zeros(len(s.grams))
+                each[np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)] = lists.flatten().to_numpy(zero_copy_only=False)
+                ratio = np.bincount(s.word, each[s.at], minlength=int(s.word[-1]) + 1 if len(s.word) else 0)
+                total = segment_sum(np.log1p(SHARE * np.expm1(np.minimum(ratio, 50)))[s.numbers], s.off)
+                n = np.maximum(s.sizes, 1)
+                yield pa.RecordBatch.from_arrays([one.column("ids").flatten(), pa.array(total / n), pa.array(total / np.sqrt(n))], ["doc_id", "mean", "root"])
 
     rows = parts.join(back, "slice", "left").select("ids", *BINARIES, "known")
-    return materialize(rows.mapInArrow(run, f"doc_id {kind}, a_mean double, a_root double, b_mean double, b_root double"), "toxicity-measures")
+    return rows.mapInArrow(run, f"doc_id {kind}, mean double, root double")
 
 
 def curve(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -374,17 +388,17 @@ def assess(docs: DataFrame, labels: DataFrame, *, most: int = CURVE_DOCUMENTS) -
         score = F.lit(1.0 if totals[1] else 0.0)
         rows = docs.select("doc_id")
     else:
-        rows = measured(parts, evidence(counts))
-        classes = rows.where(F.col("doc_id").isNotNull()).join(marks(labels), "doc_id").dropDuplicates(["doc_id"])
-        kept = {}
+        known, chosen, version = evidence(counts), {}, ""
+        marked = docs.select("doc_id").where(F.col("doc_id").isNotNull()).join(marks(labels), "doc_id").distinct()
         for version, part in (("b", in_curve(F.col("doc_id"))), ("a", F.lit(True))):
-            kept = {c: classes.where(part & (F.col("toxic") == c)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(f"{version}_mean", f"{version}_root").collect() for c in (0, 1)}
-            if kept[0] and kept[1]:
+            of = lambda c, part=part: marked.where(part & (F.col("toxic") == c)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+            chosen = {r["doc_id"]: c for c in (0, 1) for r in of(c).collect()}
+            if len(set(chosen.values())) == 2:
                 break
-        x = np.array([tuple(r) for c in (0, 1) for r in kept[c]], float)
-        y = np.repeat([0, 1], [len(kept[0]), len(kept[1])])
-        w = [float(v) for v in curve(x, y)]
+        sample = measured(sliced(docs.where(F.col("doc_id").isin(list(chosen))).select("doc_id", "text")), known, version).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+        w = [float(v) for v in curve(np.array([(r["mean"], r["root"]) for r in sample]), np.array([chosen[r["doc_id"]] for r in sample]))]
+        rows = measured(parts, known)
         # a sum of logarithms beyond 30 either way is as good as certain
-        score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("a_mean") * w[0] + F.col("a_root") * w[1] + w[2]))))
+        score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("mean") * w[0] + F.col("root") * w[1] + w[2]))))
     rows = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

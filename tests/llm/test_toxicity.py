@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from skeinwork.llm import toxicity
@@ -81,7 +82,7 @@ class Brute:
 TEXTS = ["the plain words of a plain day", "Übel schön über Straße", "vile vile VILE words", "a vile day, a Vilest day", "", None, "l'été à la mer", "…—“”", "day " * 3000, "plain vile_words v1le"]
 
 
-def test_measures_equal_brute_force(spark, monkeypatch):
+def test_measures_equal_brute_force(spark):
     texts = [t for t in TEXTS for _ in range(4)]
     toxic = [int("vile" in (t or "").lower()) for t in texts]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
@@ -92,7 +93,7 @@ def test_measures_equal_brute_force(spark, monkeypatch):
     got = toxicity.measured(parts, toxicity.evidence(toxicity.counted(parts, labels))).collect()
     assert len(got) == len(texts)
     for r in got:
-        assert np.allclose((r["a_mean"], r["a_root"]), brute.measure(texts[r["doc_id"]]), rtol=1e-4, atol=1e-6), texts[r["doc_id"]]
+        assert np.allclose((r["mean"], r["root"]), brute.measure(texts[r["doc_id"]]), rtol=1e-4, atol=1e-6), texts[r["doc_id"]]
 
 
 def test_shared_orders_are_probabilities(spark):
@@ -103,7 +104,7 @@ def test_shared_orders_are_probabilities(spark):
     assert sums and all(0 < r["p"] <= 1 + 1e-9 for r in sums)
 
 
-def test_slices_and_pieces_change_nothing(spark, monkeypatch):
+def test_slices_and_pieces_change_nothing(spark):
     texts = [f"w{k % 7} stays {'long' * 3} é{k}" for k in range(40)] + ["word " * 500 + "end", "x" * 3000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
 
@@ -111,10 +112,10 @@ def test_slices_and_pieces_change_nothing(spark, monkeypatch):
         out = {}
         for r in parts.collect():
             s = toxicity.Spelling(*(r[x] for x in toxicity.BINARIES))
-            raw, lengths = bytes(r["words"]).decode(), np.frombuffer(bytes(r["lengths"]), "<u4")
-            ends = np.cumsum(lengths)
-            all_ = [bytes(r["words"])[e - n : e].decode() for e, n in zip(ends, lengths, strict=True)]
-            assert "".join(all_) == raw
+            plain = {x: zstandard.decompress(r[x]) for x in toxicity.BINARIES}
+            lengths = np.frombuffer(plain["lengths"], "<u4")
+            all_ = [plain["words"][e - n : e].decode() for e, n in zip(np.cumsum(lengths), lengths, strict=True)]
+            assert sum(lengths) == len(plain["words"])
             for k, i in enumerate(r["ids"]):
                 out[i] = {all_[w] for w in s.numbers[s.off[k] : s.off[k + 1]]}
         return out
@@ -128,7 +129,7 @@ def test_slices_and_pieces_change_nothing(spark, monkeypatch):
         one.add(0, np.array([0, len(p)]), p)
     one.ids = [40]
     r = one.record()
-    assert np.frombuffer(r["sizes"], "<u4").tolist() == [2]
+    assert np.frombuffer(zstandard.decompress(r["sizes"]), "<u4").tolist() == [2]
 
 
 def test_odd_tables(spark):
