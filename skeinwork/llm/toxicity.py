@@ -18,8 +18,9 @@ training folds, scored by counts of the other parts.
 
 Counts are exact and grow with the corpus.  Documents are cut into slices; a
 slice keeps its different words once, and of each document their numbers.  Only
-the slices' different n-grams meet the counts, in joins by context, so no table
-of the corpus is broadcast or sent to the driver and texts are never shuffled.
+the slices' different n-grams meet the counts: both are dealt into buckets by
+context, a bucket's counts are held and the slices' n-grams stream past them.  No
+table of the corpus is broadcast or sent to the driver, texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 
 from skeinwork.llm.common import fold_of, held_out, materialize, segment_sum, slices, string_buffers, work_dir
 
-#: Bytes of an n-gram; six fit a long without loss.
-ORDER = 6
+#: Bytes of an n-gram; eight fit a long without loss.
+ORDER = 8
 #: Share of a toxic document's words that the toxic model draws.
 SHARE = 0.01
 #: Bytes and rows of a slice, about; bytes that are cut into words at a time.
@@ -46,6 +47,8 @@ CURVE_DOCUMENTS = 1500
 #: The curve is fitted to one of so many parts of the training documents.
 PARTS = 4
 THRESHOLD = 0.7
+#: Contexts of a bucket, about; the prime that deals them out.
+BUCKET, SPREAD = 1 << 15, 2147483647
 SPACE = 0x20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 PRIME = np.uint64(0x100000001B3)
@@ -168,15 +171,28 @@ class Spelling:
         starts = np.cumsum(n + ORDER) - n - 1
         raw = np.frombuffer(words, np.uint8)
         padded[np.arange(len(raw)) + np.repeat(starts - (np.cumsum(n) - n), n)] = raw
-        value = np.zeros(max(0, len(padded) - ORDER + 1), np.int64)
+        value = np.zeros(max(0, len(padded) - ORDER + 1), np.uint64)
         for k in range(ORDER):
-            value = value << 8 | padded[k : k + len(value)]
+            value = value << np.uint64(8) | padded[k : k + len(value)]
         self.word = np.repeat(np.arange(len(n)), n + 1)
         last = np.arange(len(self.word)) + np.repeat(starts - (np.cumsum(n + 1) - n - 1), n + 1)
         #: the different n-grams in rising order, and the number of each n-gram of each word
         self.grams, self.at = np.unique(value[last - ORDER + 1], return_inverse=True)
 
 
+def bucket_of(context: np.ndarray, buckets: int) -> np.ndarray:
+    return (context % np.uint64(SPREAD) % np.uint64(buckets)).astype(np.int64)
+
+
+def packed(grams: np.ndarray) -> bytes:
+    """Rising numbers as the differences between them."""
+    return zstandard.compress(np.diff(grams, prepend=np.uint64(0)).tobytes(), 3)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(raw), "<u8"), dtype=np.uint64)
+
+
 BINARIES = ("sizes", "steps", "lengths", "words")
 
 
@@ -255,7 +271,7 @@ def counted(parts: DataFrame, labels: DataFrame) -> DataFrame:
             any_ = np.flatnonzero(sums[0] + sums[1])
             for k in range(0, len(any_), 1 << 16):
                 at = any_[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (s.grams, *sums)], ["gram", "a0", "a1", "b0", "b1"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (s.grams.view(np.int64), *sums)], ["gram", "a0", "a1", "b0", "b1"])
 
     rows = parts.join(known, "slice").mapInArrow(run, "gram long, a0 long, a1 long, b0 long, b1 long")
     return materialize(rows.groupBy("gram").agg(*(F.sum(x).alias(x) for x in ("a0", "a1", "b0", "b1"))), "toxicity-counts")
@@ -284,7 +300,7 @@ def shared(counts: DataFrame) -> DataFrame:
     below = None
     for m in range(1, ORDER):
         d = discounts(tables[m], ["n"])["n"]
-        context = Window.partitionBy(F.shiftright("gram", 8))
+        context = Window.partitionBy(F.shiftrightunsigned("gram", 8))
         here = tables[m].select("gram", "n", F.sum("n").over(context).alias("total"), F.count(F.lit(1)).over(context).alias("kinds"))
         here = here.withColumn("gram_below", suffix(F.col("gram"), m - 1)).join(below, "gram_below") if below is not None else here.withColumn("p_below", F.lit(1 / 257))
         p = (F.greatest(F.col("n") - d, F.lit(0.0)) + d * F.col("kinds") * F.col("p_below")) / F.col("total")
@@ -293,14 +309,14 @@ def shared(counts: DataFrame) -> DataFrame:
 
 
 def evidence(counts: DataFrame) -> DataFrame:
-    """One row a context: log P(byte | toxic) - log P(byte | ordinary) of the bytes that follow it, and of any other byte.
+    """context, gram, and for each of its n-grams log P(byte | toxic) - log P(byte | ordinary), with the difference of any other byte.
 
     ``a`` are the differences by all counts, ``b`` those without the curve's part.
     """
     columns = ["a0", "a1", "b0", "b1"]
     d = discounts(counts, columns)
     context = Window.partitionBy("context")
-    rows = counts.withColumn("low", suffix(F.col("gram"), ORDER - 1)).join(shared(counts), "low").withColumn("context", F.shiftright("gram", 8))
+    rows = counts.withColumn("low", suffix(F.col("gram"), ORDER - 1)).join(shared(counts), "low").withColumn("context", F.shiftrightunsigned("gram", 8))
     rows = rows.withColumns({f"{c}_total": F.sum(c).over(context) for c in columns} | {f"{c}_kinds": F.count_if(F.col(c) > 0).over(context) for c in columns})
 
     def log_p(c: str) -> Column:
@@ -309,52 +325,88 @@ def evidence(counts: DataFrame) -> DataFrame:
     def log_rest(c: str) -> Column:
         return F.log(F.when(F.col(f"{c}_total") > 0, d[c] * F.col(f"{c}_kinds") / F.col(f"{c}_total")).otherwise(F.lit(1.0)))
 
-    rows = rows.select(
-        "context", suffix(F.col("gram"), 1).cast("int").alias("byte"), *((log_p(f"{v}1") - log_p(f"{v}0")).cast("float").alias(v) for v in "ab"),
-        *((log_rest(f"{v}1") - log_rest(f"{v}0")).cast("float").alias(f"{v}_rest") for v in "ab"),
-    )
-    grouped = rows.groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("byte", F.struct("a", "b")))).alias("bytes"), *(F.max(f"{v}_rest").alias(f"{v}_rest") for v in "ab"))
-    return materialize(grouped, "toxicity-evidence")
+    rows = rows.select("context", "gram", *((log_p(f"{v}1") - log_p(f"{v}0")).cast("float").alias(v) for v in "ab"), *((log_rest(f"{v}1") - log_rest(f"{v}0")).cast("float").alias(f"{v}_rest") for v in "ab"))
+    return materialize(rows, "toxicity-evidence")
+
+
+class Bucket:
+    """The evidence of one bucket of contexts."""
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray, rests: np.ndarray) -> None:
+        order = np.argsort(grams)
+        self.grams, self.values = grams[order], values[order]
+        context = self.grams >> np.uint64(8)
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(grams) else np.zeros(0, int)
+        self.contexts, self.rests = context[first], rests[order][first]
+
+    def look_up(self, grams: np.ndarray) -> np.ndarray:
+        """The evidence of each n-gram: its own, or else its context's, or else 0."""
+        out = np.zeros(len(grams), np.float32)
+        for keys, known, values in ((grams >> np.uint64(8), self.contexts, self.rests), (grams, self.grams, self.values)):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                out[hit] = values[at[hit]]
+        return out
+
+
+def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bucket, evidence before requests: slice, bucket, and the evidence of the requested n-grams."""
+    now, held, bucket = None, [], None
+    for b in batches:
+        numbers, asks = b.column("bucket").to_numpy(), b.column("slice").is_valid().to_numpy(zero_copy_only=False)
+        grams, values, rests = (b.column(x).fill_null(0).to_numpy(zero_copy_only=False) for x in ("gram", "value", "rest"))
+        edges = np.flatnonzero((np.diff(numbers, prepend=-1) != 0) | (np.diff(asks.astype(int), prepend=-1) != 0)).tolist()
+        for lo, hi in zip(edges, [*edges[1:], b.num_rows], strict=True):
+            if numbers[lo] != now:
+                now, held, bucket = numbers[lo], [], None
+            if not asks[lo]:
+                held.append((grams[lo:hi].view(np.uint64), values[lo:hi], rests[lo:hi]))
+                continue
+            if bucket is None:
+                bucket = Bucket(*(np.concatenate(x) for x in zip(*held, strict=True))) if held else Bucket(np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.float32))
+                held = []
+            for name, raw in zip(b.column("slice").slice(lo, hi - lo).to_pylist(), b.column("packed").slice(lo, hi - lo).to_pylist(), strict=True):
+                reply = zstandard.compress(bucket.look_up(unpacked(raw)).tobytes(), 3)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([now], pa.int64()), pa.array([reply], pa.binary())], ["slice", "bucket", "reply"])
 
 
 def measured(parts: DataFrame, known: DataFrame, version: str = "a") -> DataFrame:
     """doc_id, mean, root of every document: its summed difference by the number of its words, and by the root of that."""
     kind = parts.schema["ids"].dataType.elementType.simpleString()
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, s in spelled(batches):
-            context = s.grams >> 8
-            first = np.flatnonzero(np.diff(context, prepend=-1))
-            ends = np.append(first[1:], len(context))
-            for k in range(0, len(first), 1 << 14):
-                f, e = first[k : k + (1 << 14)], ends[k : k + (1 << 14)]
-                bytes_ = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(e - f)]), pa.int32()), pa.array((s.grams[f[0] : e[-1]] & 255).astype(np.int16)))
-                yield pa.RecordBatch.from_arrays([pa.array([row["slice"]] * len(f)), pa.array(context[f]), pa.array(f.astype(np.int32)), bytes_], ["slice", "context", "first", "follow"])
-
-    need = parts.select("slice", *BINARIES).mapInArrow(contexts, "slice string, context long, first int, follow array<smallint>")
-    found = need.join(known, "context")
+    buckets = max(16, known.select("context").distinct().count() // BUCKET)
 
-    values = F.transform("follow", lambda x: F.coalesce(F.col("bytes")[x.cast("int")][version], F.col(f"{version}_rest")))
-    back = found.select("slice", F.struct("first", values.alias("values")).alias("one")).groupBy("slice").agg(F.collect_list("one").alias("known"))
+    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, s in spelled(batches):
+            to = bucket_of(s.grams >> np.uint64(8), buckets)
+            order = np.argsort(to, kind="stable")
+            ends = np.searchsorted(to[order], np.arange(buckets + 1))
+            each = [(k, packed(s.grams[order[ends[k] : ends[k + 1]]])) for k in range(buckets) if ends[k] < ends[k + 1]]
+            if each:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in each], pa.int64()), pa.array([row["slice"]] * len(each)), pa.array([x for _, x in each], pa.binary())], ["bucket", "slice", "packed"])
+
+    asked = parts.select("slice", *BINARIES).mapInArrow(requests, "bucket long, slice string, packed binary")
+    told = known.select((F.col("context") % SPREAD % buckets).alias("bucket"), "gram", F.col(version).alias("value"), F.col(f"{version}_rest").alias("rest"))
+    both = told.unionByName(asked, allowMissingColumns=True).select("bucket", "slice", "packed", "gram", "value", "rest")
+    replies = both.repartition("bucket").sortWithinPartitions("bucket", F.col("slice").isNotNull()).mapInArrow(looked_up, "slice string, bucket long, reply binary")
+    back = replies.groupBy("slice").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 one = b.slice(k, 1)
-                row = one.select(["ids", *BINARIES]).to_pylist()[0]
+                row = one.select([*BINARIES, "replies"]).to_pylist()[0]
                 s = Spelling(*(row[x] for x in BINARIES))
-                own = one.column("known").flatten()  # the structs of this row; none for a null
-                first = own.field("first").to_numpy(zero_copy_only=False).astype(np.int64)
-                lists = own.field("values")
-                size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                each = np.zeros(len(s.grams))
-                each[np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)] = lists.flatten().to_numpy(zero_copy_only=False)
+                each, to = np.zeros(len(s.grams)), bucket_of(s.grams >> np.uint64(8), buckets)
+                for r in row["replies"] or ():
+                    each[to == r["bucket"]] = np.frombuffer(zstandard.decompress(r["reply"]), "<f4")
                 ratio = np.bincount(s.word, each[s.at], minlength=int(s.word[-1]) + 1 if len(s.word) else 0)
                 total = segment_sum(np.log1p(SHARE * np.expm1(np.minimum(ratio, 50)))[s.numbers], s.off)
                 n = np.maximum(s.sizes, 1)
                 yield pa.RecordBatch.from_arrays([one.column("ids").flatten(), pa.array(total / n), pa.array(total / np.sqrt(n))], ["doc_id", "mean", "root"])
 
-    rows = parts.join(back, "slice", "left").select("ids", *BINARIES, "known")
+    rows = parts.join(back, "slice", "left").select("ids", *BINARIES, "replies")
     return rows.mapInArrow(run, f"doc_id {kind}, mean double, root double")
 
 
