@@ -42,6 +42,8 @@ ORDER = 8
 SHARE = 0.01
 #: Bytes and rows of a slice, about; bytes that are cut into words at a time.
 SLICE_BYTES, SLICE_ROWS, WORK_BYTES = 1 << 23, 1 << 15, 1 << 20
+#: N-grams that a task counts before it hands them on, about.
+COMBINE = 1 << 20
 #: Labelled documents of each class that the curve is fitted to, at most (the bound of the fit).
 CURVE_DOCUMENTS = 1500
 #: The curve is fitted to one of so many parts of the training documents.
@@ -193,6 +195,7 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.decompress(raw), "<u8"), dtype=np.uint64)
 
 
+EVIDENCE = ["gram", "a", "a_rest", "b", "b_rest"]
 BINARIES = ("sizes", "steps", "lengths", "words")
 
 
@@ -212,20 +215,21 @@ def in_buckets(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def sliced(docs: DataFrame) -> DataFrame:
-    """slice, ids, and the packed words of (doc_id, text), in slices; null ids are kept."""
+    """slice, whether of the curve's sample, ids, and the packed words of (doc_id, text, sample), in slices; null ids are kept."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = Slice()
+        part, sample = Slice(), None
 
         def out(part: Slice) -> pa.RecordBatch:
             r = part.record()
             return pa.RecordBatch.from_arrays(
-                [pa.array([r["slice"]]), pa.array([r["ids"]], pa.list_(ids.type)), *(pa.array([r[x]], pa.binary()) for x in BINARIES)], ["slice", "ids", *BINARIES]
+                [pa.array([r["slice"]]), pa.array([sample]), pa.array([r["ids"]], pa.list_(ids.type)), *(pa.array([r[x]], pa.binary()) for x in BINARIES)], ["slice", "sample", "ids", *BINARIES]
             )
 
         for whole in batches:
             for b in slices(whole, "words", WORK_BYTES):
+                sample = b.column("sample")[0].as_py()  # the same in all rows of a partition
                 ids, row = b.column("doc_id"), len(part.ids)
                 part.ids += ids.to_pylist()
                 off, data = string_buffers(b.column("words"))
@@ -240,8 +244,8 @@ def sliced(docs: DataFrame) -> DataFrame:
         if part.ids:
             yield out(part)
 
-    kinds = f"slice string, ids array<{kind.simpleString()}>, " + ", ".join(f"{x} binary" for x in BINARIES)
-    return in_buckets(docs.select("doc_id", plain(F.col("text")).alias("words")).mapInArrow(run, kinds), "slice", "toxicity_slices")
+    kinds = f"slice string, sample boolean, ids array<{kind.simpleString()}>, " + ", ".join(f"{x} binary" for x in BINARIES)
+    return in_buckets(docs.select("doc_id", plain(F.col("text")).alias("words"), "sample").mapInArrow(run, kinds), "slice", "toxicity_slices")
 
 
 def marks(labels: DataFrame) -> DataFrame:
@@ -256,22 +260,35 @@ def in_curve(doc_id: Column) -> Column:
 
 def counted(parts: DataFrame, labels: DataFrame) -> DataFrame:
     """gram, a0, a1, b0, b1: documents and words with each n-gram, by class; b without the curve's part."""
+    parts = parts.where(~F.col("sample"))
     where = parts.select("slice", F.posexplode("ids").alias("pos", "doc_id")).where(F.col("doc_id").isNotNull())
     known = where.join(marks(labels), "doc_id").select("slice", F.struct("pos", "toxic", in_curve(F.col("doc_id")).alias("curve")).alias("mark"))
     known = materialize(known.groupBy("slice").agg(F.collect_list("mark").alias("marks")), "toxicity-marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            grams, at = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+            sums = [np.bincount(at, np.concatenate([x[k] for _, x in held]), len(grams)).astype(np.int64) for k in range(4)]
+            for k in range(0, len(grams), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in (grams.view(np.int64), *sums)], ["gram", "a0", "a1", "b0", "b1"])
+
         for row, s in spelled(batches):
             use = np.full((4, len(s.sizes)), False)
             for m in row["marks"]:
                 use[m["toxic"], m["pos"]] = True
                 use[2 + m["toxic"], m["pos"]] = not m["curve"]
             doc = np.repeat(np.arange(len(s.sizes)), s.sizes)
-            sums = [np.bincount(s.at, np.bincount(s.numbers[u[doc]], minlength=s.word[-1] + 1 if len(s.word) else 0)[s.word], len(s.grams)).astype(np.int64) for u in use]
-            any_ = np.flatnonzero(sums[0] + sums[1])
-            for k in range(0, len(any_), 1 << 16):
-                at = any_[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (s.grams.view(np.int64), *sums)], ["gram", "a0", "a1", "b0", "b1"])
+            sums = np.array([np.bincount(s.at, np.bincount(s.numbers[u[doc]], minlength=s.word[-1] + 1 if len(s.word) else 0)[s.word], len(s.grams)) for u in use])
+            some = np.flatnonzero(sums[0] + sums[1])
+            held.append((s.grams[some], sums[:, some]))
+            size += len(some)
+            if size >= COMBINE:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
 
     rows = parts.join(known, "slice").mapInArrow(run, "gram long, a0 long, a1 long, b0 long, b1 long")
     return materialize(rows.groupBy("gram").agg(*(F.sum(x).alias(x) for x in ("a0", "a1", "b0", "b1"))), "toxicity-counts")
@@ -332,17 +349,22 @@ def evidence(counts: DataFrame) -> DataFrame:
 class Bucket:
     """The evidence of one bucket of contexts."""
 
-    def __init__(self, grams: np.ndarray, values: np.ndarray, rests: np.ndarray) -> None:
+    def __init__(self, held: list[pa.RecordBatch]) -> None:
+        columns = [np.concatenate([b.column(x).to_numpy() for b in held]) if held else np.zeros(0) for x in EVIDENCE]
+        grams = columns[0].astype(np.int64).view(np.uint64)
         order = np.argsort(grams)
-        self.grams, self.values = grams[order], values[order]
+        self.grams = grams[order]
         context = self.grams >> np.uint64(8)
         first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(grams) else np.zeros(0, int)
-        self.contexts, self.rests = context[first], rests[order][first]
+        self.contexts = context[first]
+        #: by whether a document is of the sample: values of the n-grams, of the rest of a context
+        self.values = [(columns[k][order], columns[k + 1][order][first]) for k in (1, 3)]
 
-    def look_up(self, grams: np.ndarray) -> np.ndarray:
+    def look_up(self, grams: np.ndarray, sample: bool) -> np.ndarray:
         """The evidence of each n-gram: its own, or else its context's, or else 0."""
         out = np.zeros(len(grams), np.float32)
-        for keys, known, values in ((grams >> np.uint64(8), self.contexts, self.rests), (grams, self.grams, self.values)):
+        own, rests = self.values[sample]
+        for keys, known, values in ((grams >> np.uint64(8), self.contexts, rests), (grams, self.grams, own)):
             if len(known):
                 at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 hit = known[at] == keys
@@ -355,24 +377,25 @@ def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, held, bucket = None, [], None
     for b in batches:
         numbers, asks = b.column("bucket").to_numpy(), b.column("slice").is_valid().to_numpy(zero_copy_only=False)
-        grams, values, rests = (b.column(x).fill_null(0).to_numpy(zero_copy_only=False) for x in ("gram", "value", "rest"))
         edges = np.flatnonzero((np.diff(numbers, prepend=-1) != 0) | (np.diff(asks.astype(int), prepend=-1) != 0)).tolist()
         for lo, hi in zip(edges, [*edges[1:], b.num_rows], strict=True):
             if numbers[lo] != now:
                 now, held, bucket = numbers[lo], [], None
             if not asks[lo]:
-                held.append((grams[lo:hi].view(np.uint64), values[lo:hi], rests[lo:hi]))
+                held.append(b.slice(lo, hi - lo).select(EVIDENCE))
                 continue
             if bucket is None:
-                bucket = Bucket(*(np.concatenate(x) for x in zip(*held, strict=True))) if held else Bucket(np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.float32))
-                held = []
-            for name, raw in zip(b.column("slice").slice(lo, hi - lo).to_pylist(), b.column("packed").slice(lo, hi - lo).to_pylist(), strict=True):
-                reply = zstandard.compress(bucket.look_up(unpacked(raw)).tobytes(), 3)
+                bucket, held = Bucket(held), []
+            for name, sample, raw in zip(*(b.column(x).slice(lo, hi - lo).to_pylist() for x in ("slice", "sample", "packed")), strict=True):
+                reply = zstandard.compress(bucket.look_up(unpacked(raw), sample).tobytes(), 3)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([now], pa.int64()), pa.array([reply], pa.binary())], ["slice", "bucket", "reply"])
 
 
-def measured(parts: DataFrame, known: DataFrame, version: str = "a") -> DataFrame:
-    """doc_id, mean, root of every document: its summed difference by the number of its words, and by the root of that."""
+def measured(parts: DataFrame, known: DataFrame, version: str) -> DataFrame:
+    """doc_id, sample, mean, root of every document: its summed difference by the number of its words, and by the root of that.
+
+    The curve's sample is measured by the evidence ``version``, all else by ``a``.
+    """
     kind = parts.schema["ids"].dataType.elementType.simpleString()
 
     buckets = max(16, known.select("context").distinct().count() // BUCKET)
@@ -384,11 +407,11 @@ def measured(parts: DataFrame, known: DataFrame, version: str = "a") -> DataFram
             ends = np.searchsorted(to[order], np.arange(buckets + 1))
             each = [(k, packed(s.grams[order[ends[k] : ends[k + 1]]])) for k in range(buckets) if ends[k] < ends[k + 1]]
             if each:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in each], pa.int64()), pa.array([row["slice"]] * len(each)), pa.array([x for _, x in each], pa.binary())], ["bucket", "slice", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in each], pa.int64()), pa.array([row["slice"]] * len(each)), pa.array([row["sample"]] * len(each)), pa.array([x for _, x in each], pa.binary())], ["bucket", "slice", "sample", "packed"])
 
-    asked = parts.select("slice", *BINARIES).mapInArrow(requests, "bucket long, slice string, packed binary")
-    told = known.select((F.col("context") % SPREAD % buckets).alias("bucket"), "gram", F.col(version).alias("value"), F.col(f"{version}_rest").alias("rest"))
-    both = told.unionByName(asked, allowMissingColumns=True).select("bucket", "slice", "packed", "gram", "value", "rest")
+    asked = parts.select("slice", "sample", *BINARIES).mapInArrow(requests, "bucket long, slice string, sample boolean, packed binary")
+    told = known.select((F.col("context") % SPREAD % buckets).alias("bucket"), "gram", "a", "a_rest", F.col(version).alias("b"), F.col(f"{version}_rest").alias("b_rest"))
+    both = told.unionByName(asked, allowMissingColumns=True).select("bucket", "slice", "sample", "packed", *EVIDENCE)
     replies = both.repartition("bucket").sortWithinPartitions("bucket", F.col("slice").isNotNull()).mapInArrow(looked_up, "slice string, bucket long, reply binary")
     back = replies.groupBy("slice").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
 
@@ -396,7 +419,7 @@ def measured(parts: DataFrame, known: DataFrame, version: str = "a") -> DataFram
         for b in batches:
             for k in range(b.num_rows):
                 one = b.slice(k, 1)
-                row = one.select([*BINARIES, "replies"]).to_pylist()[0]
+                row = one.select(["sample", *BINARIES, "replies"]).to_pylist()[0]
                 s = Spelling(*(row[x] for x in BINARIES))
                 each, to = np.zeros(len(s.grams)), bucket_of(s.grams >> np.uint64(8), buckets)
                 for r in row["replies"] or ():
@@ -404,10 +427,11 @@ def measured(parts: DataFrame, known: DataFrame, version: str = "a") -> DataFram
                 ratio = np.bincount(s.word, each[s.at], minlength=int(s.word[-1]) + 1 if len(s.word) else 0)
                 total = segment_sum(np.log1p(SHARE * np.expm1(np.minimum(ratio, 50)))[s.numbers], s.off)
                 n = np.maximum(s.sizes, 1)
-                yield pa.RecordBatch.from_arrays([one.column("ids").flatten(), pa.array(total / n), pa.array(total / np.sqrt(n))], ["doc_id", "mean", "root"])
+                sample = pa.array(np.full(len(n), row["sample"]))
+                yield pa.RecordBatch.from_arrays([one.column("ids").flatten(), sample, pa.array(total / n), pa.array(total / np.sqrt(n))], ["doc_id", "sample", "mean", "root"])
 
-    rows = parts.join(back, "slice", "left").select("ids", *BINARIES, "replies")
-    return rows.mapInArrow(run, f"doc_id {kind}, mean double, root double")
+    rows = parts.join(back, "slice", "left").select("ids", "sample", *BINARIES, "replies")
+    return materialize(rows.mapInArrow(run, f"doc_id {kind}, sample boolean, mean double, root double"), "toxicity-measures")
 
 
 def curve(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -423,6 +447,17 @@ def curve(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return np.array([*(b[:-1] / scale), b[-1]])
 
 
+def curve_sample(ids: DataFrame, marks: DataFrame, most: int) -> tuple[dict, str]:
+    """Ids and classes of the documents that the curve is fitted to, and the evidence that measures them."""
+    marked, chosen = ids.where(F.col("doc_id").isNotNull()).join(marks, "doc_id").distinct(), {}
+    for version, part in (("b", in_curve(F.col("doc_id"))), ("a", F.lit(True))):
+        of = [marked.where(part & (F.col("toxic") == c)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]
+        chosen = {r["doc_id"]: r["toxic"] for r in of[0].union(of[1]).collect()}
+        if len(set(chosen.values())) == 2:
+            break
+    return chosen, version
+
+
 def assess(docs: DataFrame, labels: DataFrame, *, most: int = CURVE_DOCUMENTS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text), by the labels (doc_id, toxic) outside the held-out fold.
 
@@ -433,23 +468,20 @@ def assess(docs: DataFrame, labels: DataFrame, *, most: int = CURVE_DOCUMENTS) -
     has none of a class, the curve is fitted to documents that the counts hold.
     Repeated rows get equal scores; null ids and other columns are no obstacle.
     """
-    parts = sliced(docs.select("doc_id", "text"))
+    docs = docs.select("doc_id", "text")
+    chosen, version = curve_sample(docs.select("doc_id"), marks(labels), most)
+    sample = docs.where(F.col("doc_id").isin(list(chosen)))
+    parts = sliced(docs.withColumn("sample", F.lit(False)).union(sample.withColumn("sample", F.lit(True))))
     counts = counted(parts, labels)
     totals = counts.agg(F.sum("a0"), F.sum("a1")).first()
     if not totals[0] or not totals[1]:
         score = F.lit(1.0 if totals[1] else 0.0)
-        rows = docs.select("doc_id")
+        rows = docs
     else:
-        known, chosen, version = evidence(counts), {}, ""
-        marked = docs.select("doc_id").where(F.col("doc_id").isNotNull()).join(marks(labels), "doc_id").distinct()
-        for version, part in (("b", in_curve(F.col("doc_id"))), ("a", F.lit(True))):
-            of = lambda c, part=part: marked.where(part & (F.col("toxic") == c)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-            chosen = {r["doc_id"]: c for c in (0, 1) for r in of(c).collect()}
-            if len(set(chosen.values())) == 2:
-                break
-        sample = measured(sliced(docs.where(F.col("doc_id").isin(list(chosen))).select("doc_id", "text")), known, version).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-        w = [float(v) for v in curve(np.array([(r["mean"], r["root"]) for r in sample]), np.array([chosen[r["doc_id"]] for r in sample]))]
-        rows = measured(parts, known)
+        rows = measured(parts, evidence(counts), version)
+        fitted = rows.where("sample").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+        w = [float(v) for v in curve(np.array([(r["mean"], r["root"]) for r in fitted]), np.array([chosen[r["doc_id"]] for r in fitted]))]
+        rows = rows.where("not sample")
         # a sum of logarithms beyond 30 either way is as good as certain
         score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("mean") * w[0] + F.col("root") * w[1] + w[2]))))
     rows = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))

@@ -89,8 +89,8 @@ def test_measures_equal_brute_force(spark):
     labels = spark.createDataFrame([(k, x) for k, x in enumerate(toxic)], "doc_id long, toxic int")
     learn = {r["doc_id"] for r in toxicity.marks(labels).collect()}
     brute = Brute([(texts[k], toxic[k]) for k in sorted(learn)])
-    parts = toxicity.sliced(docs)
-    got = toxicity.measured(parts, toxicity.evidence(toxicity.counted(parts, labels))).collect()
+    parts = toxicity.sliced(docs.withColumn("sample", F.lit(False)))
+    got = toxicity.measured(parts, toxicity.evidence(toxicity.counted(parts, labels)), "b").collect()
     assert len(got) == len(texts)
     for r in got:
         assert np.allclose((r["mean"], r["root"]), brute.measure(texts[r["doc_id"]]), rtol=1e-4, atol=1e-6), texts[r["doc_id"]]
@@ -98,7 +98,7 @@ def test_measures_equal_brute_force(spark):
 
 def test_shared_orders_are_probabilities(spark):
     texts = ["some words of some length", "other words"] * 3
-    parts = toxicity.sliced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    parts = toxicity.sliced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("sample", F.lit(False)))
     counts = toxicity.counted(parts, spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, toxic int"))
     sums = toxicity.shared(counts).groupBy(F.shiftright("low", 8)).agg(F.sum("p").alias("p")).collect()
     assert sums and all(0 < r["p"] <= 1 + 1e-9 for r in sums)
@@ -121,7 +121,7 @@ def test_slices_and_pieces_change_nothing(spark):
         return out
 
     want = {k: set(words(t)) for k, t in enumerate(texts)}
-    assert held(toxicity.sliced(docs)) == want
+    assert held(toxicity.sliced(docs.withColumn("sample", F.lit(False)))) == want
     one = toxicity.Slice()
     data = np.frombuffer(texts[40].encode(), np.uint8)
     assert b"".join(p.tobytes() for p in toxicity.pieces(data, 64)) == data.tobytes()
