@@ -1,15 +1,18 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-Texts fall apart into units (blank marks with the word that follows, or a line
-feed) that no piece of the model crosses.  Different units are encoded once: their
-substrings of bounded length are exploded and equi-joined to the piece table, the
-edges of a unit are grouped, and Spark's ``aggregate`` folds over them:
+Texts fall apart into units wherever two neighbouring characters stand side by side
+in no piece of the model: no path and no merge crosses such a place.  Different
+units are encoded once: their substrings of bounded length are exploded and
+equi-joined to the piece table, the edges of a unit are grouped, and Spark's
+``aggregate`` folds over them:
 
 * a unigram model: Viterbi, the best path to each position, the first of equals by
   start, as the library's decoder takes it;
 * a BPE model, whose ids are not those of any best path: merges on the same
   lattice.  The boundaries of a unit are the bits of a long; an edge that spans two
   neighbouring symbols may be merged, that of greatest score (then leftmost) first.
+  One pass over the edges in that order does it, unless a merge lets an earlier edge
+  in; then the pass starts anew after every merge.
 
 A character that no piece covers becomes an edge of its own and ends up as byte
 pieces.  Units travel as lists in blocks of documents, not as single occurrences:
@@ -21,10 +24,9 @@ from __future__ import annotations
 
 import dataclasses
 import heapq
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import materialize, slices
+from skeinwork.llm.common import gathered, in_buckets, slices
 
 MARK = "▁"
-#: Text characters of a block; longest unit of the lattice (its boundaries fill a long): longer ones are encoded one by one in Python.
-BLOCK_BYTES, LONG_UNIT = 8 << 20, 60
+#: Bytes of text of a block and of a part that is cut at a time; different units of a bucket, about.
+BLOCK_BYTES, WORK_BYTES, BUCKET_UNITS = 16 << 20, 1 << 21, 1 << 16
+#: Longest unit of the lattice (its boundaries fill a long): longer ones are encoded one by one in Python.
+LONG_UNIT = 60
+#: Bit of a BPE state that says that a merge let an earlier edge in.
+AGAIN = 1 << 62
 UNKNOWN_PENALTY = 10.0
 
 
@@ -75,16 +81,47 @@ class Model:
         return cls(m.trainer_spec.model_type == m.trainer_spec.BPE, normal, [bytes_.get(b, unknown) for b in range(256)], unknown, max(len(p) for p, _, _ in normal), min(s for _, _, s in normal) - UNKNOWN_PENALTY)
 
 
-RUNS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
-
-
-def units(text: str | None) -> list[str]:
-    """The units of a text in order; an empty one stands between two line feeds and has no piece."""
-    if not text:
-        return []
-    if "  " in text or text[0] == " " or MARK in text:
-        return RUNS.findall(MARK + text.replace(" ", MARK))
-    return (MARK + text.replace(" ", " " + MARK)).replace("\n", " \n ").split(" ")
+class Cutter:
+    """Cuts texts into units: runs of characters whose neighbours stand side by side in some piece."""
+
+    def __init__(self, model: Model) -> None:
+        chars = sorted({c for p, _, _ in model.pieces for c in p})
+        self.kind = np.zeros(0x110000, np.uint16)
+        self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for p, _, _ in model.pieces:
+            k = self.kind[[ord(c) for c in p]]
+            self.joined[k[:-1], k[1:]] = True
+
+    def cut(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Different units, the number of each unit of the texts in order, and how many units each text has."""
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        whole = "".join(marked)
+        if not whole:
+            return [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        kinds = self.kind[points]
+        edge = np.append(True, ~self.joined[kinds[:-1], kinds[1:]])
+        first = np.cumsum([0, *map(len, marked)])
+        edge[first[first < len(points)]] = True
+        starts = np.flatnonzero(edge)
+        lengths = np.diff(starts, append=len(points))
+        at = np.arange(len(points)) - np.repeat(starts, lengths)
+        for prime in PRIMES:
+            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(lengths.max()), prime)]), dtype=np.uint64)
+            hashes = np.add.reduceat((points.astype(np.uint64) + np.uint64(1)) * power[at], starts)
+            _, one, number = np.unique(hashes, return_index=True, return_inverse=True)
+            # equal hashes have to be equal units
+            same = starts[one][number]
+            if (lengths[one][number] == lengths).all() and (gathered(points, same, lengths) == points).all():
+                break
+        else:
+            raise RuntimeError("units can't be told apart by any of the hashes")
+        return [whole[a : a + n] for a, n in zip(starts[one].tolist(), lengths[one].tolist(), strict=True)], number, np.diff(np.searchsorted(starts, first))
+
+
+#: Multipliers of the hash that tells units apart, one after another.
+PRIMES = [np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
 def viterbi(unit: str, table: dict[str, tuple[int, float]], model: Model) -> list[int]:
@@ -136,56 +173,87 @@ def merges(unit: str, table: dict[str, tuple[int, float]], model: Model) -> list
     return [table.get(unit[s : after[s]], (-2 - ord(unit[s]),))[0] for s in range(n) if alive[s]]
 
 
-def lattice(distinct: DataFrame, model: Model) -> DataFrame:
-    """(unit, path) of different units (unit, none longer than LONG_UNIT): ids in order, characters as -2 - code point."""
+def late_pieces(model: Model) -> set[str]:
+    """Pieces that can come after a piece of greater or equal score of which they are one of two parts: merging one may let an earlier edge in."""
+    score, out = {p: x for p, _, x in model.pieces}, set()
+    for p, x in score.items():
+        for k in range(1, len(p)):
+            parts = p[:k], p[k:]
+            if all(len(y) == 1 or y in score for y in parts):
+                out.update(y for y in parts if len(y) > 1 and score[y] <= x)
+    return out
+
+
+def lattice(distinct: DataFrame, model: Model, parts: int = 1) -> DataFrame:
+    """(unit, path) of different units (unit, none longer than LONG_UNIT): ids in order, characters as -2 - code point.
+
+    ``parts``: partitions that the units are dealt over.
+    """
     spark = distinct.sparkSession
-    table = spark.createDataFrame(model.pieces, "piece string, id int, score double")
-    rows = distinct.where(F.length("unit") > 0).withColumn("uid", F.xxhash64("unit")).repartition("uid", "unit")
+    late, rank = late_pieces(model) if model.bpe else set(), {x: k for k, x in enumerate(sorted({x for _, _, x in model.pieces}, reverse=True))}
+    table = spark.createDataFrame([(p, k, x, rank[x], p in late) for p, k, x in model.pieces], "piece string, id int, score double, rank int, late boolean")
+    rows = distinct.where(F.length("unit") > 0).withColumn("uid", F.monotonically_increasing_id()).repartition(parts, "uid")
     starts = rows.select("uid", "unit", F.length("unit").alias("n"), F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
-    cuts = starts.select("uid", "unit", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("s")))).alias("w"))
+    cuts = starts.select("uid", "unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("s")))).alias("w"))
     cuts = cuts.withColumn("cut", F.substring("unit", F.col("s") + 1, F.col("w")))
     # the piece table has the size of the vocabulary
     edges = cuts.join(F.broadcast(table), F.col("cut") == F.col("piece"), "left").where(F.col("id").isNotNull() | (F.col("w") == 1))
-    end, score = (F.col("s") + F.col("w")).alias("e"), F.coalesce("score", F.lit(model.floor))
-    tail = [F.col("s"), F.coalesce("id", -2 - F.ascii("cut")).alias("id")]
+    unit = F.max(F.when((F.col("s") == 0) & (F.col("w") == 1), F.col("unit"))).alias("unit")
     if not model.bpe:
-        edge = F.struct(end, *tail, score.alias("score"))
-        return edges.groupBy("uid", "unit").agg(F.sort_array(F.collect_list(edge)).alias("edges")).select("unit", fold_viterbi(F.col("edges")).alias("path"))
-    edges = edges.withColumns({"lo": F.expr("shiftleft(1L, s)"), "hi": F.expr("shiftleft(1L, s + w)")})
-    longer = F.struct((-score).alias("cost"), *tail, end, (F.col("lo") + F.col("hi")).alias("ends"), (F.col("hi") - F.col("lo") * 2).alias("inner"))
-    # collect_list leaves nulls out: edges of one character name the symbols, longer ones are merges
-    lists = {"ones": F.struct(*tail), "more": longer}
-    kinds = {k: F.sort_array(F.collect_list(F.when((F.col("w") == 1) == (k == "ones"), v))).alias(k) for k, v in lists.items()}
-    return edges.groupBy("uid", "unit").agg(*kinds.values()).select("unit", fold_merges(F.col("ones"), F.col("more"), F.length("unit")).alias("path"))
+        edge = F.struct((F.col("s") + F.col("w")).alias("e"), "s", F.coalesce("id", -2 - F.ascii("cut")).alias("id"), F.coalesce("score", F.lit(model.floor)).alias("score"))
+        return edges.groupBy("uid").agg(unit, F.sort_array(F.collect_list(edge)).alias("edges")).select("unit", fold_viterbi(F.col("edges")).alias("path"))
+    # an edge is one long.  Symbols: start, whether a piece, its id or code point.  Longer ones: rank, start, length, late, id
+    put = lambda *fields: reduce(lambda x, f: F.shiftleft(x, f[1]).bitwiseOR(f[0].cast("long")), fields, F.lit(0).cast("long"))
+    one = put((F.col("s"), 6), (F.col("id").isNotNull(), 1), (F.coalesce("id", F.ascii("cut")), 24))
+    longer = put((F.col("rank"), 22), (F.col("s"), 6), (F.col("w"), 8), (F.col("late"), 1), (F.col("id"), 24))
+    lists = {k: F.sort_array(F.collect_list(F.when((F.col("w") == 1) == (k == "ones"), v))).alias(k) for k, v in (("ones", one), ("more", longer))}
+    return edges.groupBy("uid").agg(unit, *lists.values()).select("unit", F.transform(F.array(F.struct("ones", "more")), lambda x: fold_merges(x["ones"], x["more"], F.length("unit")))[0].alias("path"))
+
+
+def bits_of(x: Column, at: int, width: int) -> Column:
+    return F.shiftright(x, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
 def fold_merges(ones: Column, more: Column, n: Column) -> Column:
-    """BPE over edges ``more`` (cost, s, id, e, ends, inner) in order of cost and start; ``ones`` (s, id) are the n symbols.
+    """BPE over the packed edges ``more`` in order of rank and start; ``ones`` are the n symbols."""
+    shift = lambda x, by: F.call_function("shiftleft", F.lit(x).cast("long"), by.cast("int"))
 
-    ends: bits of both ends of an edge; inner: bits between them.  An edge may be merged
-    if its ends are boundaries and one boundary lies between them.
-    """
+    def edge(x: Column) -> Column:
+        s, w = bits_of(x, 33, 6), bits_of(x, 25, 8)
+        lo, hi = shift(1, s), shift(1, s + w)
+        # ends: bits of both ends; inner: bits between them; place: rank and start
+        return F.struct(F.shiftright(x, 33).alias("place"), (lo + hi).alias("ends"), (hi - lo * 2).alias("inner"), s.alias("s"), (bits_of(x, 24, 1) == 1).alias("late"), bits_of(x, 0, 24).alias("id"))
 
-    def step(bits: Column, _: Column) -> Column:
-        may = F.filter(more, lambda x: (F.bit_count(bits.bitwiseAND(x["inner"])) == 1) & (bits.bitwiseAND(x["ends"]) == x["ends"]))
-        return bits.bitwiseAND(F.bitwise_not(F.coalesce(F.get(may, F.lit(0))["inner"], F.lit(0).cast("long"))))
+    def fold(edges: Column) -> Column:
+        def may(bits: Column, x: Column) -> Column:
+            return (F.bit_count(bits.bitwiseAND(x["inner"])) == 1) & (bits.bitwiseAND(x["ends"]) == x["ends"])
 
-    def ids(bits: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), n), lambda k: F.call_function("shiftright", bits, k).bitwiseAND(1) == 1)
+        def once(bits: Column, x: Column) -> Column:
+            after = bits.bitwiseAND(F.bitwise_not(x["inner"]))
+            let_in = x["late"] & F.exists(edges, lambda y: (y["place"] < x["place"]) & may(after, y))
+            return F.when(~may(bits, x), bits).when(let_in, after.bitwiseOR(F.lit(AGAIN))).otherwise(after)
 
-        def named(p: Column) -> Column:
-            def one(s: Column, k: Column) -> Column:
-                e = F.get(p, k + 1)
-                long = F.filter(more, lambda x: (x["s"] == s) & (x["e"] == e))
-                return F.when(e == s + 1, F.get(ones, s)["id"]).otherwise(F.get(long, F.lit(0))["id"])
+        def anew(bits: Column, _: Column) -> Column:
+            first = F.get(F.filter(edges, lambda x: may(bits, x)), F.lit(0))["inner"]
+            return bits.bitwiseAND(F.bitwise_not(F.coalesce(first, F.lit(0).cast("long"))))
 
-            return F.transform(F.slice(p, 1, F.size(p) - 1), one)
+        start = shift(2, n) - 1  # every position is a boundary
+        rounds = F.slice(F.sequence(F.lit(0), n), 2, F.greatest(n - 1, F.lit(0)))
+        passed = F.aggregate(edges, start, once)
+        bits = F.transform(F.array(passed), lambda b: F.when(b.bitwiseAND(F.lit(AGAIN)) == 0, b).otherwise(F.aggregate(rounds, start, anew)))
 
-        return F.transform(F.array(at), named)[0]
+        def path(b: Column) -> Column:
+            long = F.filter(edges, lambda x: (b.bitwiseAND(x["inner"]) == 0) & (b.bitwiseAND(x["ends"]) == x["ends"]))
+            short = F.filter(ones, lambda x: b.bitwiseAND(shift(3, bits_of(x, 25, 6))) == shift(3, bits_of(x, 25, 6)))
+            named = lambda s, k: F.struct(s.alias("s"), k.cast("int").alias("id"))
+            single = lambda x: named(bits_of(x, 25, 6), F.when(bits_of(x, 24, 1) == 1, bits_of(x, 0, 24)).otherwise(-2 - bits_of(x, 0, 24)))
+            both = F.concat(F.transform(long, lambda x: named(x["s"], x["id"])), F.transform(short, single))
+            return F.transform(F.array_sort(both), lambda x: x["id"])
 
-    start = F.call_function("shiftleft", F.lit(2).cast("long"), n) - 1  # every position is a boundary
-    rounds = F.slice(F.sequence(F.lit(0), n), 2, F.least(n - 1, F.size(more)))
-    return F.when(F.size(more) == 0, F.transform(ones, lambda x: x["id"])).otherwise(F.aggregate(rounds, start, step, ids))
+        return F.transform(bits, path)[0]
+
+    # the edges are unpacked once, as the argument of a lambda
+    return F.transform(F.array(F.transform(more, edge)), fold)[0]
 
 
 def fold_viterbi(edges: Column) -> Column:
@@ -230,48 +298,59 @@ def unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(opened(raw), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
-def bucket_of(unit: str, buckets: int) -> int:
-    return zlib.crc32(unit.encode()) % buckets
+def listed(units: list[str]) -> bytes:
+    """Units in one string; only the unit of a line feed holds one."""
+    return pressed("\n".join("" if u == "\n" else u for u in units).encode())
+
 
+def unlisted(raw: bytes) -> list[str]:
+    return ["\n" if u == "" else u for u in opened(raw).decode().split("\n")]
 
-def to_blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (block, bucket, doc_id, raw): documents (bucket -1) as unit ranks, and the units of each bucket with their ranks (raw, ranks)."""
+
+def by_bucket(units: list[str], buckets: int) -> list[list[tuple[str, int]]]:
+    """The units of each bucket in order, with their places in ``units``."""
+    out: list[list[tuple[str, int]]] = [[] for _ in range(buckets)]
+    for k, u in enumerate(units):
+        out[zlib.crc32(u.encode()) % buckets].append((u, k))
+    for own in out:
+        own.sort()
+    return out
+
+
+def to_blocks(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows (block, ids, sizes, ranks, n, units): documents as ranks of the block's units, the frequent ones first, and the n units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, size = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[int | None, list[str]]] = []
+        cutter, part, number, size = Cutter(model), TaskContext.get().partitionId(), 0, 0
+        known: dict[str, int] = {}
+        ids, sizes, marks = [], [], []
 
         def flush() -> pa.RecordBatch:
             nonlocal number, size
-            counts: Counter[str] = Counter()
-            for _, u in held:
-                counts.update(u)
-            rank = {u: k for k, (u, _) in enumerate(counts.most_common())}
-            block = part << 24 | number
-            rows = [(block, -1, doc, planes(np.fromiter(map(rank.__getitem__, u), np.uint32, len(u))), None) for doc, u in held]
-            by: list[list[str]] = [[] for _ in range(buckets)]
-            for u in rank:
-                by[bucket_of(u, buckets)].append(u)
-            for k, own in enumerate(by):
-                if own:
-                    own.sort()
-                    rows.append((block, k, None, pressed(" ".join(own).encode()), planes(np.fromiter(map(rank.__getitem__, own), np.uint32, len(own)))))
-            held.clear()
+            all_ = np.concatenate(marks)
+            order = np.argsort(-np.bincount(all_, minlength=len(known)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            names = list(known)
+            values = (part << 24 | number, list(ids), planes(np.concatenate(sizes)), planes(rank[all_]), len(names), listed([names[k] for k in order.tolist()]))
+            known.clear(), ids.clear(), sizes.clear(), marks.clear()
             number, size = number + 1, 0
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "bucket", "doc_id", "raw", "ranks"])
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], ["block", "ids", "sizes", "ranks", "n", "units"])
 
         for whole in batches:
-            for b in slices(whole, "text"):
-                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    held.append((doc, units(text)))
-                    size += len(text or "")
-                    if size > BLOCK_BYTES:
-                        yield flush()
-        if held:
+            for b in slices(whole, "text", WORK_BYTES):
+                units, at, each = cutter.cut(b.column("text").to_pylist())
+                own = np.fromiter((known.setdefault(u, len(known)) for u in units), np.int64, len(units))
+                ids.extend(b.column("doc_id").to_pylist()), sizes.append(each), marks.append(own[at])
+                size += b.column("text").nbytes
+                if size > BLOCK_BYTES:
+                    yield flush()
+        if ids:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, bucket int, doc_id long, raw binary, ranks binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "block long, ids array<long>, sizes binary, ranks binary, n long, units binary")
 
 
 def encode(docs: DataFrame, path: str, *, buckets: int | None = None) -> DataFrame:
@@ -280,88 +359,99 @@ def encode(docs: DataFrame, path: str, *, buckets: int | None = None) -> DataFra
     A null or empty text has no id.  Repeated rows are encoded each.  Characters
     without a piece become byte pieces, or the unknown id where the model has none.
     """
-    spark: SparkSession = docs.sparkSession
     model = Model.load(path)
-    buckets = buckets or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = materialize(to_blocks(docs, buckets), "unit-blocks")
-    lists = blocks.where(F.col("bucket") >= 0).select("block", "bucket", "raw", "ranks")
+    blocks = in_buckets(to_blocks(docs, model), "block", "unit_blocks")
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    buckets = buckets or max(16, total // BUCKET_UNITS)
+
+    def plain(p: list[int]) -> list[int]:
+        """Characters without a piece as byte pieces."""
+        return [y for x in p for y in ([x] if x >= 0 else [model.byte_ids[c] for c in chr(-2 - x).encode()])] if min(p) < -1 else p
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, raw in zip(b.column("block").to_pylist(), b.column("units").to_pylist(), strict=True):
+                own = [(k, listed([u for u, _ in x])) for k, x in enumerate(by_bucket(unlisted(raw), buckets)) if x] if raw else []
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int64()), pa.array([k for k, _ in own], pa.int32()), pa.array([x for _, x in own], pa.binary())], ["block", "bucket", "raw"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Different units of the buckets of one partition; a bucket lies in one partition."""
-        seen: set[str] = set()
+        """Different units of each bucket."""
+        seen, now = set(), None
         for b in batches:
-            for raw in b.column("raw").to_pylist():
-                new = set(opened(raw).decode().split(" ")) - seen
+            for k, raw in zip(b.column("bucket").to_pylist(), b.column("raw").to_pylist(), strict=True):
+                if k != now:
+                    seen, now = set(), k
+                new = set(unlisted(raw)) - seen
                 seen |= new
-                keep = [u for u in new if len(u) <= LONG_UNIT]
-                yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string())], ["unit"])
+                yield pa.RecordBatch.from_arrays([pa.array([u for u in new if len(u) <= LONG_UNIT], pa.string())], ["unit"])
 
-    distinct = lists.select("bucket", "raw").repartition("bucket").select("raw").mapInArrow(spread, "unit string")
-    paths = lattice(distinct, model)
+    lists = blocks.where(F.col("n") > 0).select("block", "units").mapInArrow(ask, "block long, bucket int, raw binary").repartition("bucket")
+    distinct = lists.sortWithinPartitions("bucket").select("bucket", "raw").mapInArrow(spread, "unit string")
+    paths = lattice(distinct, model, max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def pack_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Dictionary rows (bucket, raw units, their numbers of ids, ids), one for each bucket and batch."""
-        byte_ids = model.byte_ids
+        """Dictionary rows (bucket, units, their numbers of ids, ids), one for each bucket and batch."""
         for b in batches:
-            by: dict[int, tuple[list, list, list]] = {}
-            for u, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if min(p) < -1:
-                    p = [y for x in p for y in ([x] if x >= 0 else [byte_ids[c] for c in chr(-2 - x).encode()])]
-                us, ns, xs = by.setdefault(bucket_of(u, buckets), ([], [], []))
-                us.append(u), ns.append(len(p)), xs.extend(p)
-            rows = [(k, pressed(" ".join(us).encode()), planes(np.array(ns, np.uint32)), planes(np.array(xs, np.uint32))) for k, (us, ns, xs) in by.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)] if rows else [pa.array([], t) for t in (pa.int32(), *[pa.binary()] * 3)], ["bucket", "units", "n", "ids"])
+            us, ps = b.column(0).to_pylist(), b.column(1).to_pylist()
+            rows = []
+            for k, own in enumerate(by_bucket(us, buckets)):
+                if own:
+                    mine = [plain(ps[j]) for _, j in own]
+                    rows.append((k, listed([u for u, _ in own]), planes(np.array([len(p) for p in mine], np.uint32)), planes(np.fromiter((x for p in mine for x in p), np.uint32))))
+            kinds = (pa.int32(), *[pa.binary()] * 3)
+            columns = zip(*rows, strict=True) if rows else ([],) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "units", "n", "ids"])
 
     entries = paths.mapInArrow(pack_paths, "bucket int, units binary, n binary, ids binary")
 
     def reply(lists_: Iterator[pa.RecordBatch], entries_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each block's list of a bucket: the ids of its units."""
-        known: dict[str, bytes] = {"": b""}
+        known: dict[str, bytes] = {}
         for b in entries_:
             for us, ns, xs in zip(*(b.column(c).to_pylist() for c in ("units", "n", "ids")), strict=True):
                 ends = 4 * np.cumsum(unplanes(ns).astype(np.int64))
                 raw = unplanes(xs).tobytes()
                 at = 0
-                for u, e in zip(opened(us).decode().split(" "), ends.tolist(), strict=True):
+                for u, e in zip(unlisted(us), ends.tolist(), strict=True):
                     known[u] = raw[at:e]
                     at = e
         table = None
         for b in lists_:
-            for block, raw, ranks in zip(*(b.column(c).to_pylist() for c in ("block", "raw", "ranks")), strict=True):
-                own = opened(raw).decode().split(" ")
+            for block, k, raw in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "raw")), strict=True):
+                own = unlisted(raw)
                 for u in own:
                     if u not in known:  # a long unit
-                        table = table or {p: (k, s) for p, k, s in model.pieces}
-                        p = [y for x in (merges if model.bpe else viterbi)(u, table, model) for y in ([x] if x >= 0 else [model.byte_ids[c] for c in chr(-2 - x).encode()])]
-                        known[u] = np.array(p, "<u4").tobytes()
+                        table = table or {p: (i, x) for p, i, x in model.pieces}
+                        known[u] = np.array(plain((merges if model.bpe else viterbi)(u, table, model)), "<u4").tobytes()
                 found = [known[u] for u in own]
-                n = np.array([len(x) // 4 for x in found], np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ranks], pa.binary()), pa.array([planes(n)], pa.binary()), pa.array([planes(np.frombuffer(b"".join(found), "<u4"))], pa.binary())], ["block", "ranks", "n", "ids"])
-
-    kinds = "block long, ranks binary, n binary, ids binary"
-    replies = lists.groupBy("bucket").cogroup(entries.groupBy("bucket")).applyInArrow(reply_tables(reply), kinds)
-    texts = blocks.where(F.col("bucket") < 0).select("block", "doc_id", F.col("raw"))
-
-    def assemble(texts_: Iterator[pa.RecordBatch], replies_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(unplanes(r), unplanes(n), unplanes(x)) for b in replies_ for r, n, x in zip(*(b.column(c).to_pylist() for c in ("ranks", "n", "ids")), strict=True)]
-        ranks = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, "<u4")
-        sizes, flat = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, "<u4") for k in (1, 2))
-        first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[:-1] if len(sizes) else np.zeros(0, np.int64)
-        size_of, first_of = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
-        size_of[ranks], first_of[ranks] = sizes, first
-        for b in texts_:
-            out = []
-            for raw in b.column("raw").to_pylist():
-                u = unplanes(raw)
-                n = size_of[u]
-                ends = np.cumsum(n)
-                at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first_of[u] - (ends - n), n)
-                out.append(flat[at].astype(np.int32))
-            off = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
-
-    return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(reply_tables(assemble), "doc_id long, ids array<int>")
+                n = planes(np.array([len(x) // 4 for x in found], np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([k], pa.int32()), pa.array([n], pa.binary()), pa.array([planes(np.frombuffer(b"".join(found), "<u4"))], pa.binary())], ["block", "bucket", "n", "ids"])
+
+    replies = lists.groupBy("bucket").cogroup(entries.groupBy("bucket")).applyInArrow(reply_tables(reply), "block long, bucket int, n binary, ids binary")
+    back = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", F.col("n").alias("sizes"), "ids")).alias("replies"))
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                own = by_bucket(unlisted(row["units"]), buckets) if row["n"] else []
+                sizes, first, flat, at = np.zeros(row["n"], np.int64), np.zeros(row["n"], np.int64), [np.zeros(0, "<u4")], 0
+                for r in row["replies"] or ():
+                    places, n = np.array([j for _, j in own[r["bucket"]]]), unplanes(r["sizes"]).astype(np.int64)
+                    sizes[places], first[places] = n, at + np.cumsum(n) - n
+                    flat.append(unplanes(r["ids"]))
+                    at += len(flat[-1])
+                flat, ranks = np.concatenate(flat).astype(np.int32), unplanes(row["ranks"])
+                ends = np.concatenate([[0], np.cumsum(unplanes(row["sizes"]).astype(np.int64))])
+                for lo in range(0, len(row["ids"]), 256):
+                    hi = min(lo + 256, len(row["ids"]))
+                    u = ranks[ends[lo] : ends[hi]]
+                    n = sizes[u]
+                    total = np.concatenate([[0], np.cumsum(n)])
+                    off = total[ends[lo : hi + 1] - ends[lo]].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(row["ids"][lo:hi], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(gathered(flat, first[u], n)))], ["doc_id", "ids"])
+
+    return blocks.join(back, "block", "left").select("ids", "sizes", "ranks", "n", "units", "replies").mapInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def reply_tables(f):

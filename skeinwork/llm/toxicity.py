@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import fold_of, held_out, materialize, segment_sum, slices, string_buffers, work_dir
+from skeinwork.llm.common import fold_of, gathered, held_out, in_buckets, materialize, segment_sum, slices, string_buffers
 
 #: Bytes of an n-gram; eight fit a long without loss.
 ORDER = 8
@@ -87,12 +87,6 @@ def word_starts(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.bincount(number[inside], minlength=len(starts))
 
 
-def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The bytes of the given ranges, one after another."""
-    ends = np.cumsum(lengths)
-    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)]
-
-
 def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words (they only tell the words of one slice apart)."""
     if not len(starts):
@@ -206,14 +200,6 @@ def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Spelling]
             yield row, Spelling(*(row[x] for x in BINARIES))
 
 
-def in_buckets(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``df`` written in buckets of ``key`` to the shared folder: joins on the key don't shuffle it again."""
-    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").bucketBy(n, key).option("path", work_dir(spark, name)).saveAsTable(name)
-    return spark.read.table(name)
-
-
 def sliced(docs: DataFrame) -> DataFrame:
     """slice, whether of the curve's sample, ids, and the packed words of (doc_id, text, sample), in slices; null ids are kept."""
     kind = docs.schema["doc_id"].dataType

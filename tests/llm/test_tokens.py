@@ -104,7 +104,7 @@ def test_minimum_slack_is_minimal():
     assert {k: max(s[2] for s in slots if s[0] == k) for k in (5, 3, 16)} == {5: 10, 3: 7, 16: 4}
 
 
-LATTICE = ODD + ["a  b   c", "  lead", "x\n\n\ny ", "naïve 中文", "a▁b ▁ c", "z" * 200, " " * 80 + "q"]
+LATTICE = ODD + ["a  b   c", "  lead", "x\n\n\ny ", "naïve 中文", "a▁b ▁ c", "z" * 200, " " * 80 + "q", "a\0b\0", "the then other their ▁the"]
 
 
 def test_bpe_lattice_equals_the_library(spark):
@@ -119,6 +119,33 @@ def test_bpe_lattice_equals_the_library(spark):
     assert lattice.encode(table(spark, []), PIECES, buckets=2).count() == 0
 
 
+def test_units_are_cut_where_no_piece_crosses():
+    model = lattice.Model.load(PIECES)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    table_, cutter = {p: (k, x) for p, k, x in model.pieces}, lattice.Cutter(model)
+    texts = [t for t in LATTICE if t]
+    units, at, sizes = cutter.cut([None, *texts, ""])
+    assert sizes[0] == sizes[-1] == 0 and len(sizes) == len(texts) + 2 and len(set(units)) == len(units)
+    ends = sizes.cumsum()
+    for t, e, n in zip(texts, ends[1:], sizes[1:], strict=False):
+        own = [units[k] for k in at[e - n : e]]
+        assert "".join(own) == "▁" + t.replace(" ", "▁")
+        ids = [y for u in own for x in lattice.merges(u, table_, model) for y in ([x] if x >= 0 else [model.byte_ids[c] for c in chr(-2 - x).encode()])]
+        assert ids == sp.encode(t)
+
+
+def test_merges_that_let_an_earlier_edge_in(spark):
+    """'abc' outranks its part 'bc', so it may be merged only after the pass has gone by."""
+    pieces = [(c, k, 0.0) for k, c in enumerate("abcxyz")] + [("abc", 10, -1.0), ("xy", 11, -2.0), ("bc", 12, -3.0), ("ab", 13, -9.0), ("abcx", 14, -4.0), ("cxy", 15, -2.5), ("bcxy", 16, -0.5)]
+    model = lattice.Model(True, pieces, list(range(100, 356)), 99, 4, -20.0)
+    assert lattice.late_pieces(model) >= {"bc", "ab"}
+    r = np.random.default_rng(8)
+    words = sorted({"".join(r.choice(list("abcxyz"), n)) for n in r.integers(1, 14, 400)} | {"abc", "xabc", "abcxy", "aabcxyz"})
+    table_ = {p: (k, x) for p, k, x in pieces}
+    got = {x["unit"]: list(x["path"]) for x in lattice.lattice(spark.createDataFrame([(w,) for w in words], "unit string"), model, 3).collect()}
+    assert got == {w: lattice.merges(w, table_, model) for w in words}
+
+
 def test_unigram_lattice_equals_the_library(spark):
     from sentencepiece import sentencepiece_model_pb2 as pb
 
