@@ -39,7 +39,7 @@ from skeinwork.llm.common import gathered, in_buckets, slices
 
 MARK = "▁"
 #: Bytes of text of a block and of a part that is cut at a time; different units of a bucket, about.
-BLOCK_BYTES, WORK_BYTES, BUCKET_UNITS = 16 << 20, 1 << 21, 1 << 16
+BLOCK_BYTES, WORK_BYTES, BUCKET_UNITS = 8 << 20, 1 << 20, 1 << 16
 #: Longest unit of the lattice (its boundaries fill a long): longer ones are encoded one by one in Python.
 LONG_UNIT = 60
 #: Bit of a BPE state that says that a merge let an earlier edge in.
@@ -434,14 +434,14 @@ def encode(docs: DataFrame, path: str, *, buckets: int | None = None) -> DataFra
         for b in batches:
             for k in range(b.num_rows):
                 row = b.slice(k, 1).to_pylist()[0]
-                own = by_bucket(unlisted(row["units"]), buckets) if row["n"] else []
-                sizes, first, flat, at = np.zeros(row["n"], np.int64), np.zeros(row["n"], np.int64), [np.zeros(0, "<u4")], 0
+                own = [np.array([j for _, j in x], np.int64) for x in by_bucket(unlisted(row["units"]), buckets)] if row["n"] else []
+                sizes, first, found, at = np.zeros(row["n"], np.int64), np.zeros(row["n"], np.int64), [np.zeros(0, "<u4")], 0
                 for r in row["replies"] or ():
-                    places, n = np.array([j for _, j in own[r["bucket"]]]), unplanes(r["sizes"]).astype(np.int64)
+                    places, n = own[r["bucket"]], unplanes(r["sizes"]).astype(np.int64)
                     sizes[places], first[places] = n, at + np.cumsum(n) - n
-                    flat.append(unplanes(r["ids"]))
-                    at += len(flat[-1])
-                flat, ranks = np.concatenate(flat).astype(np.int32), unplanes(row["ranks"])
+                    found.append(unplanes(r["ids"]))
+                    at += len(found[-1])
+                every, ranks = np.concatenate(found).astype(np.int32), unplanes(row["ranks"])
                 ends = np.concatenate([[0], np.cumsum(unplanes(row["sizes"]).astype(np.int64))])
                 for lo in range(0, len(row["ids"]), 256):
                     hi = min(lo + 256, len(row["ids"]))
@@ -449,7 +449,7 @@ def encode(docs: DataFrame, path: str, *, buckets: int | None = None) -> DataFra
                     n = sizes[u]
                     total = np.concatenate([[0], np.cumsum(n)])
                     off = total[ends[lo : hi + 1] - ends[lo]].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(row["ids"][lo:hi], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(gathered(flat, first[u], n)))], ["doc_id", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(row["ids"][lo:hi], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(gathered(every, first[u], n)))], ["doc_id", "ids"])
 
     return blocks.join(back, "block", "left").select("ids", "sizes", "ranks", "n", "units", "replies").mapInArrow(assemble, "doc_id long, ids array<int>")
 
@@ -464,19 +464,31 @@ def reply_tables(f):
     return run
 
 
-def decoder(model: Model):
-    """A function from ids to text: pieces joined, marks to blanks, the leading blank dropped.
+class Decoder:
+    """Ids to texts: pieces joined, marks to blanks, the leading blank dropped.
 
     Bytes that are no UTF-8 become U+FFFD; control ids (unknown, begin, end) give nothing.
     """
-    text_of = {k: p.encode() for p, k, _ in model.pieces} | {k: bytes([b]) for b, k in enumerate(model.byte_ids) if k != model.unknown_id}
-    get = [text_of.get(k, b"") for k in range(max(text_of, default=0) + 1)].__getitem__
 
-    def text(ids: list[int]) -> str:
-        t = b"".join(map(get, ids)).decode(errors="replace").replace(MARK, " ")
-        return t[1:] if t[:1] == " " else t
+    def __init__(self, model: Model) -> None:
+        text_of = {k: p.replace(MARK, " ").encode() for p, k, _ in model.pieces} | {k: bytes([b]) for b, k in enumerate(model.byte_ids) if k != model.unknown_id}
+        raw = [text_of.get(k, b"") for k in range(max(text_of, default=0) + 1)]
+        self.raw, self.lengths = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of the ranges of ``ids`` that begin at 0 and end at ``ends``."""
+        n = self.lengths[ids]
+        raw = gathered(self.raw, self.starts[ids], n).tobytes()
+        at = np.concatenate([[0], np.cumsum(n)])[ends].tolist()
+        texts = (raw[a:b].decode(errors="replace") for a, b in zip([0, *at[:-1]], at, strict=True))
+        return [t[1:] if t[:1] == " " else t for t in texts]
+
 
-    return text
+def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of lists of ids one after another, and where each list ends; a null has none."""
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    return ids, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -484,10 +496,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     model = Model.load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = decoder(model)
+        decoder = Decoder(model)
         for b in batches:
-            out = [None if ids is None else text(ids) for ids in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                texts = decoder.texts(*flat(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string(), mask=part.column(1).is_null().to_numpy(zero_copy_only=False))], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
@@ -497,12 +511,13 @@ def digest(encoded: DataFrame, path: str) -> DataFrame:
     model = Model.load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = decoder(model)
+        decoder = Decoder(model)
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                lists = [np.asarray(x.values if x.values is not None else [], "<u4") for x in part.column(1)]
-                columns = [[len(x) for x in lists], [zlib.crc32(x.tobytes()) for x in lists], [zlib.crc32(text(x.tolist()).encode()) for x in lists]]
+                ids, ends = flat(part.column(1))
+                raw, cuts = ids.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+                columns = [np.diff(ends, prepend=0), [zlib.crc32(raw[a:e]) for a, e in zip(cuts, cuts[1:], strict=False)], [zlib.crc32(t.encode()) for t in decoder.texts(ids, ends)]]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_tokens", "ids_crc32", "text_crc32"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, text_crc32 long")
