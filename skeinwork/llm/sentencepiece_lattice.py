@@ -39,7 +39,7 @@ from skeinwork.llm.common import gathered, in_buckets, slices
 
 MARK = "▁"
 #: Bytes of text of a block and of a part that is cut at a time; different units of a bucket, about.
-BLOCK_BYTES, WORK_BYTES, BUCKET_UNITS = 8 << 20, 1 << 20, 1 << 16
+BLOCK_BYTES, WORK_BYTES, BUCKET_UNITS = 8 << 20, 1 << 19, 1 << 16
 #: Longest unit of the lattice (its boundaries fill a long): longer ones are encoded one by one in Python.
 LONG_UNIT = 60
 #: Bit of a BPE state that says that a merge let an earlier edge in.
@@ -353,8 +353,8 @@ def to_blocks(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "block long, ids array<long>, sizes binary, ranks binary, n long, units binary")
 
 
-def encode(docs: DataFrame, path: str, *, buckets: int | None = None) -> DataFrame:
-    """doc_id, ids (array of int) of every document (doc_id, text).
+def encode(docs: DataFrame, path: str, *, buckets: int | None = None, digests: bool = False) -> DataFrame:
+    """doc_id, ids (array of int) of every document (doc_id, text); with ``digests`` what ``digest`` makes of them.
 
     A null or empty text has no id.  Repeated rows are encoded each.  Characters
     without a piece become byte pieces, or the unknown id where the model has none.
@@ -386,7 +386,7 @@ def encode(docs: DataFrame, path: str, *, buckets: int | None = None) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array([u for u in new if len(u) <= LONG_UNIT], pa.string())], ["unit"])
 
     lists = blocks.where(F.col("n") > 0).select("block", "units").mapInArrow(ask, "block long, bucket int, raw binary").repartition("bucket")
-    distinct = lists.sortWithinPartitions("bucket").select("bucket", "raw").mapInArrow(spread, "unit string")
+    distinct = lists.sortWithinPartitions("bucket").mapInArrow(spread, "unit string")
     paths = lattice(distinct, model, max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def pack_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,7 +451,12 @@ def encode(docs: DataFrame, path: str, *, buckets: int | None = None) -> DataFra
                     off = total[ends[lo : hi + 1] - ends[lo]].astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(row["ids"][lo:hi], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(gathered(every, first[u], n)))], ["doc_id", "ids"])
 
-    return blocks.join(back, "block", "left").select("ids", "sizes", "ranks", "n", "units", "replies").mapInArrow(assemble, "doc_id long, ids array<int>")
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In the same worker: ids don't travel between two."""
+        return digests_of(assemble(batches), model)
+
+    run, kinds = (digested, DIGEST) if digests else (assemble, "doc_id long, ids array<int>")
+    return blocks.join(back, "block", "left").select("ids", "sizes", "ranks", "n", "units", "replies").mapInArrow(run, kinds)
 
 
 def reply_tables(f):
@@ -506,18 +511,21 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
+DIGEST = "doc_id long, n_tokens long, ids_crc32 long, text_crc32 long"
+
+
+def digests_of(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    decoder = Decoder(model)
+    for b in batches:
+        for k in range(0, b.num_rows, 256):
+            part = b.slice(k, 256)
+            ids, ends = flat(part.column(1))
+            raw, cuts = ids.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+            columns = [np.diff(ends, prepend=0), [zlib.crc32(raw[a:e]) for a, e in zip(cuts, cuts[1:], strict=False)], [zlib.crc32(t.encode()) for t in decoder.texts(ids, ends)]]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_tokens", "ids_crc32", "text_crc32"])
+
+
 def digest(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids), text_crc32 (of the decoded text as UTF-8)."""
     model = Model.load(path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(model)
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                ids, ends = flat(part.column(1))
-                raw, cuts = ids.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
-                columns = [np.diff(ends, prepend=0), [zlib.crc32(raw[a:e]) for a, e in zip(cuts, cuts[1:], strict=False)], [zlib.crc32(t.encode()) for t in decoder.texts(ids, ends)]]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_tokens", "ids_crc32", "text_crc32"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, text_crc32 long")
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: digests_of(batches, model), DIGEST)

@@ -116,6 +116,7 @@ def test_bpe_lattice_equals_the_library(spark):
     assert all(text[k * 3 - 6] == (t or "").replace("▁", " ") for k, t in enumerate(LATTICE))
     d = {r["doc_id"]: r for r in lattice.digest(got, PIECES).collect()}
     assert d[-6 + 3 * 12]["text_crc32"] == zlib.crc32(b"same") and d[-6]["n_tokens"] == 0
+    assert {tuple(r) for r in lattice.encode(table(spark, LATTICE), PIECES, buckets=3, digests=True).collect()} == {tuple(r) for r in d.values()}
     assert lattice.encode(table(spark, []), PIECES, buckets=2).count() == 0
 
 
