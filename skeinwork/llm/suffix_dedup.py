@@ -55,22 +55,27 @@ def anchors(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """(anchor, first string, last string) of each run of strings with the same anchor, as positions in ``data``."""
     if len(data) < LENGTH:
         return (np.zeros(0, np.int64),) * 3
-    bits = int(len(data)).bit_length()
-    low = np.uint64((1 << bits) - 1)
     k = gram_hashes(data)
-    k = (k & ~low) | np.arange(len(k), dtype=np.uint64)
+    where = np.arange(len(k))
+
+    def lower(by: int) -> None:
+        """The least hash of two neighbouring windows, ``by`` apart; of equal ones the left."""
+        nonlocal k, where
+        right = k[by:] < k[:-by]
+        k, where = np.where(right, k[by:], k[:-by]), np.where(right, where[by:], where[:-by])
+
     # least of LENGTH - GRAM + 1 neighbours, by doubling
     width, span = LENGTH - GRAM + 1, 1
     while 2 * span <= width:
-        k = np.minimum(k[:-span], k[span:])
+        lower(span)
         span *= 2
     if span < width:
-        k = np.minimum(k[: len(k) - (width - span)], k[width - span :])
+        lower(width - span)
     n = np.maximum(np.diff(off) - LENGTH + 1, 0)
     p = np.arange(n.sum()) + np.repeat(off[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
     if not len(p):
         return (np.zeros(0, np.int64),) * 3
-    a = (k[p] & low).astype(np.int64)
+    a = where[p]
     new = np.concatenate([[True], (np.diff(a) != 0) | (np.diff(p) != 1)])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(p)) - 1

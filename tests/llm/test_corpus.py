@@ -168,6 +168,20 @@ def test_toxicity(spark):
     assert {x["score"] for x in none.values()} == {0.0}
 
 
+def test_anchors_of_equal_strings_are_equal_in_every_slice():
+    r = np.random.default_rng(11)
+    passage = r.integers(97, 123, 700).astype(np.uint8)
+    found = []
+    for before, after in ((0, 0), (313, 5), (70_001, 200_000)):
+        data = np.concatenate([r.integers(97, 123, before), passage, r.integers(97, 123, after)]).astype(np.uint8)
+        a, first, last = suffix_dedup.anchors(np.array([0, len(data)]), data)
+        each = {p: int(x) - p for x, lo, hi in zip(a, first, last, strict=True) for p in range(lo, hi + 1)}
+        found.append([each[before + k] for k in range(len(passage) - suffix_dedup.LENGTH + 1)])
+    assert found[0] == found[1] == found[2]
+    h = suffix_dedup.gram_hashes(passage)
+    assert found[0] == [int(np.argmin(h[k : k + suffix_dedup.LENGTH - suffix_dedup.GRAM + 1])) for k in range(len(found[0]))]
+
+
 # -- search ---------------------------------------------------------------------------------
 
 
