@@ -346,6 +346,8 @@ def links(distinct: DataFrame, n: int, sample: np.ndarray, distance: int = DISTA
             for i, (group, _) in enumerate(parts):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), i, np.int32)), pa.array(values(fps, group))], ["part", "value"])
 
+    if distance % 2:  # midpoints need an even distance
+        crowded = n
     counts = distinct.mapInArrow(own, "part int, value long").groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
     full = materialize(counts.where(F.col("n") > crowded).select("part", "value"), "crowded")
     sent = distinct.mapInArrow(keys, "part int, value long, fp long, home boolean")
@@ -452,9 +454,10 @@ def profiles(docs: DataFrame) -> DataFrame:
             out: list[list] = [[], [], [], []]
             for t in b.column("text"):
                 h = shingle_hashes(t.as_py(), STAGE_SHINGLE)
-                second = (h ^ (h >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+                # of the set of shingles: one that recurs has no more say than others
                 once = np.unique(h)
-                row = (majority(h), majority(second ^ (second >> np.uint64(28))), len(once), sketch(once).tobytes())
+                second = (once ^ (once >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+                row = (majority(once), majority(second ^ (second >> np.uint64(28))), len(once), sketch(once).tobytes())
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
             fp, fp2 = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in out[:2])

@@ -56,3 +56,42 @@ def test_links_of_edited_copies_equal_brute_force(spark):
     good = {(i, j) for i, j in zip(a[ok].tolist(), b[ok].tolist(), strict=True)}
     assert {(min(p), max(p)) for p in found} <= good
     assert simhash.keep_one(d).agg(F.count("doc_id")).first()[0] == len(set(want))
+
+
+def test_texts_that_share_one_frequent_shingle_stay(spark):
+    r = random.Random(4)
+    texts = [" ".join(["same"] * 120 + [f"v{r.randrange(10**6)}" for _ in range(60)]) for _ in range(2)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.keep_one(d).count() == 2
+
+
+def test_odd_distances_have_no_midpoints(spark):
+    fps = [0, 1, 3, 7, 0xFF00, 0xFF07, 1 << 40]
+    rows = spark.createDataFrame([(k, f) for k, f in enumerate(fps)], "doc_id long, fp long")
+    want = roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+    assert {r["doc_id"]: r["component_id"] for r in simhash.group(materialize(rows, "t"), 3).collect()} == dict(enumerate(want))
+    sample = np.array(fps, np.uint64)
+    assert simhash.links(rows.select("fp"), len(fps), sample, 3, crowded=1).count() >= 2
+
+
+def brute_similar(texts):
+    sets = [set(simhash.shingle_hashes(t, simhash.STAGE_SHINGLE).tolist()) for t in texts]
+    return {(i, j): len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for i in range(len(texts)) for j in range(i)}
+
+
+def test_stage_against_exact_jaccard(spark):
+    """Pairs of similarity 0.8 or more are found (0.9 of them at least), none below 0.7 is linked."""
+    r = random.Random(21)
+    texts = []
+    for k in range(120):
+        words = r.choice([40, 90, 200, 600])
+        texts += edited_copies(r, words, 2, max(1, round(words * r.choice([0.004, 0.01, 0.02, 0.05, 0.1]))))
+    exact = brute_similar(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    nodes = materialize(simhash.profiles(d), "t")
+    fp = {x["fp"]: x["doc_id"] for x in nodes.select("fp", "doc_id").collect()}
+    assert len(fp) == len(texts)
+    found = {tuple(sorted((fp[x["a"]], fp[x["b"]]), reverse=True)) for x in simhash.similar_links(nodes, len(texts), np.sort(np.array(list(fp), np.int64).view(np.uint64))).collect()}
+    due = {p for p, j in exact.items() if j >= 0.8}
+    assert len(due) > 60 and len(found & due) >= 0.9 * len(due)
+    assert all(exact[p] >= 0.7 for p in found)
