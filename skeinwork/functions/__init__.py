@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,7 +77,19 @@ def six_digits(x: float | None) -> str:
 
 def tokens_to_map(line: Column) -> Column:
     """Map of the k=v words of a line; the last of equal keys counts, words without = are left out."""
-    words = F.filter(F.split(F.trim(line), r"\s+"), lambda w: w.contains("="))
-    pairs = F.transform(words, lambda w: F.struct(F.substring_index(w, "=", 1).alias("k"), F.regexp_replace(w, "^[^=]*=", "").alias("v")))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(last)
+    words = F.reverse(F.filter(F.split(F.trim(line), r"\s+"), lambda w: w.contains("=")))
+    keys = F.transform(words, lambda w: F.substring_index(w, "=", 1))
+
+    def entries(b: Column) -> Column:
+        pairs = F.transform(b["words"], lambda w, i: F.struct(F.get(b["keys"], i).alias("k"), F.substr(w, F.length(F.get(b["keys"], i)) + 2).alias("v")))
+        # reversed, so the first of equal keys is the last of the line
+        return F.map_from_entries(F.filter(pairs, lambda x, i: F.array_position(b["keys"], x["k"]) == i + 1))
+
+    # words and keys are worked out once, as the argument of a lambda
+    return F.transform(F.array(F.struct(words.alias("words"), keys.alias("keys"))), entries)[0]
+
+
+def token(line: Column, key: str) -> Column:
+    """Value of the last word key=... of a line, or null: for a few known keys, without the map."""
+    mine = rf"(?s)^(?:.*\s)?{re.escape(key)}=(\S*)"
+    return F.when(line.rlike(mine), F.regexp_extract(line, mine, 1))

@@ -1,10 +1,12 @@
 """Scatter / gather / apply programs on edge tables, in synchronous supersteps.
 
 A program is a set of Column expressions, so Catalyst plans every superstep: the
-changed vertices meet their edges (equi-join on src), candidates are combined per
-destination (map-side first), and ``apply`` merges them into the state.  Only the
-changed vertices scatter.  State is written to the shared folder now and then,
-which keeps plans short.
+changed vertices meet their edges (equi-join on src), and one aggregation per vertex
+combines the candidates (map-side first) with the old state, which a loop edge of
+each vertex hands on.  So a superstep reads the state before it once: plans grow
+with the number of supersteps only, and the shuffled edges are used again by all
+supersteps of a plan.  Only the changed vertices scatter.  The state is written to
+the shared folder now and then.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.storage import settle
+from skeinwork.storage import forget, settle
 
 #: Supersteps between two writes of the state.
-SETTLE_EVERY = 4
+SETTLE_EVERY = 8
 
 
 @dataclasses.dataclass(frozen=True)
@@ -34,25 +36,35 @@ SHORTEST = Program(lambda d, w: d + w, F.min, F.least)
 SMALLEST_LABEL = Program(lambda d, w: d, F.min, F.least)
 
 
+def with_loops(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """src, dst, weight, loop: the edges, and a loop of each of ``vertices`` and of each destination."""
+    loops = vertices.select(F.col("vertex").alias("src")).union(edges.select("dst")).distinct()
+    return edges.select("src", "dst", "weight", F.lit(False).alias("loop")).union(loops.select("src", F.col("src").alias("dst"), F.lit(None).cast("long"), F.lit(True)))
+
+
 def superstep(program: Program, edges: DataFrame, state: DataFrame) -> DataFrame:
-    """The next state (vertex, value, changed); all candidates come from the state before (Jacobi)."""
-    front = state.where("changed").select(F.col("vertex").alias("src"), "value")
-    sent = edges.join(front, "src").groupBy(F.col("dst").alias("vertex")).agg(program.gather(program.scatter(F.col("value"), F.col("weight"))).alias("candidate"))
-    both = state.select("vertex", "value", F.lit(None).cast("long").alias("candidate")).unionByName(sent.select("vertex", F.lit(None).cast("long").alias("value"), "candidate"))
-    merged = both.groupBy("vertex").agg(F.max("value").alias("old"), program.gather(F.col("candidate")).alias("candidate"))
+    """The next state (vertex, value, changed) by edges with loops; all candidates come from the state before (Jacobi)."""
+    sent = edges.join(state.withColumnRenamed("vertex", "src"), "src").where(F.col("changed") | F.col("loop"))
+    old, candidate = F.when(F.col("loop"), F.col("value")), F.when(~F.col("loop"), program.scatter(F.col("value"), F.col("weight")))
+    merged = sent.groupBy(F.col("dst").alias("vertex")).agg(F.max(old).alias("old"), program.gather(candidate).alias("candidate"))
     new = program.apply(F.col("old"), F.col("candidate"))
     return merged.select("vertex", new.alias("value"), (F.col("old").isNull() | (new != F.col("old"))).alias("changed"))
 
 
 def run(program: Program, edges: DataFrame, start: DataFrame, supersteps: int | None = None, every: int = SETTLE_EVERY) -> DataFrame:
     """``supersteps`` rounds from ``start`` (vertex, value), or rounds until nothing changes; (vertex, value) of reached vertices."""
-    state = start.select("vertex", "value", F.lit(True).alias("changed"))
+    state, old = start.select("vertex", "value", F.lit(True).alias("changed")), None
+    edges = with_loops(edges, start)
+    if supersteps is None or supersteps > every:
+        edges = settle(edges, "edges")
     k = 0
     while supersteps is None or k < supersteps:
         state = superstep(program, edges, state)
         k += 1
-        if supersteps is None or k % every == 0 and k < supersteps:
+        if k % every == 0 and (supersteps is None or k < supersteps):
             state = settle(state, "superstep")
+            forget(old)
+            old = state
             if not state.where("changed").limit(1).count():
                 break
     return state.select("vertex", "value")
@@ -115,12 +127,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     e = settle(e.withColumn("weight", F.lit(0).cast("long")), "both-ways")
+    old = None
     state = e.select(F.col("src").alias("vertex")).distinct().select("vertex", F.col("vertex").alias("value"), F.lit(True).alias("changed"))
+    e = with_loops(e, state)
     while True:
         state = superstep(SMALLEST_LABEL, e, state)
         to = state.select(F.col("vertex").alias("value"), F.col("value").alias("further"))
         jumped = state.join(to, "value").select("vertex", F.col("further").alias("value"), (F.col("changed") | (F.col("further") != F.col("value"))).alias("changed"))
         state = settle(jumped, "labels")
+        forget(old)
+        old = state
         if not state.where("changed").limit(1).count():
             return state.select("vertex", F.col("value").alias("component"))
 

@@ -94,15 +94,14 @@ def blocks(batched: DataFrame, batches: int, store: Store) -> tuple[DataFrame, b
     held: DataFrame | None = None
     level = 0
     while (1 << level) <= batches:
-        step = 1 << level
         mine = own.where(target_level(F.col("batch")) == level)
         if held is not None:
-            into = F.col("batch") + F.pow(F.lit(2), F.col("level")).cast("long")
+            # a carry of a lower level is read once, by the batch that it goes into
+            into = F.col("batch") + F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
             below = held.withColumn("batch", into).where((target_level(F.col("batch")) == level) & (F.col("batch") <= batches))
             mine = mine.unionByName(below.select("batch", *KEY, "weight", "diff"))
-        done = coalesced(mine, "batch").withColumn("level", F.lit(level))
-        # only the newest carries of a level can still be read; all are kept for checks
-        held = settle(done if held is None else held.unionByName(done), "carries") if step * 2 <= batches else (done if held is None else held.unionByName(done))
+        done = settle(coalesced(mine, "batch").withColumn("level", F.lit(level)), "carries")
+        held = done if held is None else held.unionByName(done)
         level += 1
     full = held.select("batch").distinct().count() == batches
     return held, full
@@ -181,17 +180,17 @@ def classify(batched: DataFrame, store: Store = Store(), case: str = "", edge_fi
     alone = batched.groupBy("batch", *KEY).agg(F.sum("diff").alias("d")).where(~F.col("d").between(*INT16))
     if alone.limit(1).count():
         return fail("INVALID_INPUT", OVERFLOW)
-    use = settle(usage(batched, batches, store), "usage")
-    if use.select("carry").distinct().count() < batches:
-        return _classify_replayed(batched, batches, store, out, fail)
+    use = usage(batched, batches, store)
     level = F.col("level")
     total = (F.lit(store.batch) * F.pow(F.lit(store.ratio), level)).cast("long")
     split = F.when(level == 0, F.lit(store.batch).cast("long")).otherwise(ceil_div(total, store.partitions))
     crowded = (F.col("part") >= 0) & (F.col("edges") > split)
-    each = use.groupBy("carry", "level").agg(
+    each = settle(use.groupBy("carry", "level").agg(
         F.sum("edges").alias("edges"), F.sum("over").alias("over"), F.max(F.when(F.col("part") < 0, F.col("edges"))).alias("outside"),
         F.max(F.when(F.col("part") >= 0, F.col("edges"))).alias("most"), F.min(F.when(crowded, F.struct("part", "edges"))).alias("crowded"),
-    ).withColumns({"total": total, "split": split})
+    ).withColumns({"total": total, "split": split}), "carries")
+    if each.count() < batches:
+        return _classify_replayed(batched, batches, store, out, fail)
     reason = (
         F.when(level >= store.levels, "all_levels_occupied").when(F.col("over") > 0, OVERFLOW).when(F.col("edges") > F.col("total"), "level_total_capacity")
         .when(F.col("outside") > 0, "dst_outside_partition_range").when(F.col("crowded").isNotNull(), "level_partition_capacity")

@@ -23,13 +23,11 @@ def replay(static: DataFrame | None, updates: DataFrame) -> DataFrame:
     An operation fixes the state of its edge whatever came before, so the last one
     decides.  Static edges are inserts that come first; one aggregation does it all.
     """
-    ops = updates.select(*KEY, "seq", F.col("typ").cast("int").alias("typ"))
+    ops = updates.select(*KEY, F.col("seq").cast("long").alias("seq"), F.col("typ").cast("int").alias("typ"))
     if static is not None:
-        first = static.select(*KEY, F.lit(None).cast("long").alias("seq"), F.lit(1).alias("typ"))
-        ops = ops.withColumn("late", F.lit(1)).unionByName(first.withColumn("late", F.lit(0)))
-    else:
-        ops = ops.withColumn("late", F.lit(1))
-    last = ops.groupBy(*KEY).agg(F.max_by("typ", F.struct("late", "seq")).alias("typ"))
+        # the least long: before any operation; one number to order by keeps the aggregation a hash one
+        ops = ops.unionByName(static.select(*KEY, F.lit(-(1 << 63)).cast("long").alias("seq"), F.lit(1).alias("typ")))
+    last = last_operation(ops)
     return last.where(F.col("typ") != 0).select(*KEY)
 
 

@@ -515,8 +515,7 @@ def kv_token_parse(spark, d):
     mark = F.when(F.col("l_returnflag") == "R", "FAIL").otherwise("PASS")
     line = F.concat_ws(" ", F.lit("TAG_SMOKE"), mark, F.lit("vertices=0"), F.concat(F.lit("vertices="), "l_orderkey"), F.lit("noise"), F.concat(F.lit("errors="), F.col("l_quantity").cast("long")))
     rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", line.alias("line"))
-    kv = fn.tokens_to_map(F.col("line"))
-    return rows.withColumn("kv", kv).select("l_orderkey", "l_linenumber", "l_partkey", F.col("kv")["vertices"].alias("vertices"), F.col("kv")["errors"].alias("errors"), F.col("line").contains(" FAIL ").alias("failed"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", *(fn.token(F.col("line"), k).alias(k) for k in ("vertices", "errors")), F.col("line").contains(" FAIL ").alias("failed"))
 
 
 @query("""SELECT l_returnflag, CASE WHEN l_linenumber = 7 AND l_quantity > 5 THEN 'DRY_RUN'

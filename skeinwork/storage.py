@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``; a temporary one only where it is unset)."""
+    """A new path in the folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder takes its place on one machine (tests); on a
+    cluster that is an error, as executors wouldn't see each other's files.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = known.get() if known.isDefined() else None
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="skeinwork-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -25,7 +32,26 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def forget(df: DataFrame | None) -> None:
+    """Delete what ``settle`` wrote for ``df``; nothing may read it afterwards."""
+    path = getattr(df, "_settled_at", None)
+    if path:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def in_buckets(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` written in buckets of ``key`` to the shared folder: joins on the key don't shuffle it again."""
+    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(n, key).option("path", shared_path(spark, name)).saveAsTable(name)
+    return spark.read.table(name)
 
 
 def with_row_index(df: DataFrame, order: list[str], name: str = "row_index") -> DataFrame:
