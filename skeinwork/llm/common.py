@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinwork.storage import forget, in_buckets  # noqa: F401  (for the operators)
+from skeinwork.storage import settle as materialize  # noqa: F401
+from skeinwork.storage import shared_path as work_dir  # noqa: F401
+
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 
@@ -19,38 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share.
-
-    That is the session's ``spark.checkpoint.dir``; only where it is unset (tests,
-    one machine) a local temporary folder takes its place.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = base.get() if base.isDefined() else None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="skeinwork-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def in_buckets(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``df`` written in buckets of ``key`` to the shared folder: joins on the key don't shuffle it again."""
-    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").bucketBy(n, key).option("path", work_dir(spark, name)).saveAsTable(name)
-    return spark.read.table(name)
-
-
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; remainder 1 marks held-out rows (a null id: null)."""
     return F.crc32(doc_id.cast("string")) % 3

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import materialize, with_group
+from skeinwork.llm.common import forget, materialize, with_group
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,7 +24,10 @@ def components(links: DataFrame) -> DataFrame:
         large = materialize(large.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct(), "links")
         # now b < a in every row: a's least neighbour takes a's others and a itself
         small = with_group(large, "a", ["b"], F.min("b").alias("m"))
-        at = materialize(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct(), "links")
+        new = materialize(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct(), "links")
+        # nothing reads what this round came from
+        forget(large), forget(at)
+        at = new
         now = at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         if now == last:
             break
