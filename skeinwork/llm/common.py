@@ -17,6 +17,21 @@ from skeinwork.storage import shared_path as work_dir  # noqa: F401
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
+#: Rows and bytes of the batches that Python workers get, where the session has Spark's own defaults: texts are long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
+#: For Python workers: what they free goes back to the machine at once, as arrays are large and workers stay.
+WORKERS = {"MALLOC_MMAP_THRESHOLD_": "131072", "MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Bound what a batch of texts takes in executors and their Python workers; a session's own settings stay."""
+    for key, value in WORKERS.items():
+        spark.sparkContext.environment.setdefault(key, value)
+    for key, (default, own) in BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, own)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,7 +59,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], raw[off[0] : off[-1]]
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive row ranges of ``batch`` with about ``most_bytes`` of ``column`` each (one row at least): bounds working memory."""
     if batch.num_rows == 0:
         return

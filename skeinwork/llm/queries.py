@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from skeinwork.llm import language_id, packing, quality_net, quality_rules, sentencepiece_lattice, simhash, suffix_dedup, token_files, topk, toxicity
-from skeinwork.llm.common import table
+from skeinwork.llm.common import lean_batches, table
 
 
 def word_vocabulary() -> str:
@@ -67,8 +68,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (op1_quality_net, op2_topk, op3_sentencepiece, op4_quality_rules, op5_simhash, op6_token_files, op7_packing, op8_language_id, op9_toxicity, op10_suffix_dedup)
 
 
+def lean(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lean_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: lean(f) for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
