@@ -7,11 +7,14 @@ of ``documents``.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.llm import language_id, packing, quality_rules, simhash, suffix_dedup
-from skeinwork.llm.common import materialize, table
+from skeinwork.llm.common import lean_batches, materialize, table
 from skeinwork.llm.queries import word_vocabulary
 
 
@@ -41,7 +44,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, word_vocabulary())
 
 
-STAGES = [("quality rules", quality), ("language ID", language), ("SimHash near-dedup", near_dedup), ("suffix-array dedup", passage_dedup), ("packing", pack)]
+def lean(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage``, with batches of texts kept small in executors and their Python workers."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        lean_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [("quality rules", lean(quality)), ("language ID", lean(language)), ("SimHash near-dedup", lean(near_dedup)), ("suffix-array dedup", lean(passage_dedup)), ("packing", lean(pack))]
 
 #: SQL can't express XXH64 fingerprints, sub-word ids and the fits; tests compare the stages with brute force.
 ORACLE_SQL = None
