@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.llm import language_id, packing, quality_rules, simhash, suffix_dedup
-from skeinwork.llm.common import lean_batches, materialize, table
+from skeinwork.llm.common import give_memory_back, lean_batches, materialize, table
 from skeinwork.llm.queries import word_vocabulary
 
 
@@ -50,6 +50,7 @@ def lean(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         lean_batches(spark)
+        give_memory_back(spark)  # stages leave their workers to the next ones
         return stage(spark, docs, sf_dir)
 
     return run_stage
