@@ -264,9 +264,9 @@ def sssp_converged(spark, d):
     return gas.sssp(transitions(spark, d), 0)
 
 
-@query(_sssp_sql(1, "1", "level"))
+@query(_sssp_sql(4, "1", "level"))
 def bfs_levels(spark, d):
-    return gas.bfs(transitions(spark, d), 0, 1)
+    return gas.bfs(transitions(spark, d), 0, 4)
 
 
 def _pagerank_sql(n: int) -> str:
@@ -551,3 +551,46 @@ SELECT o_orderkey, CASE WHEN a - b = floor(a - b) THEN CAST(CAST(a - b AS BIGINT
 def format_delta(spark, d):
     before = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
     return t(spark, d, "orders").select("o_orderkey", fn.delta_text(before, F.col("o_custkey").cast("string")).alias("delta"))
+
+
+# -- operators shown by one relation each ---------------------------------------------------
+
+
+@query("SELECT l_suppkey, l_partkey, l_orderkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey * 10 + l_linenumber DESC) = 1")
+def last_row_per_key(spark, d):
+    rows = t(spark, d, "lineitem").withColumn("at", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return compare.last_per_key(rows, ["l_suppkey", "l_partkey"], "at").select("l_suppkey", "l_partkey", "l_orderkey", "l_quantity")
+
+
+@query("SELECT CASE l_linestatus WHEN 'F' THEN 'changed' ELSE 'unchanged' END AS state, count(*) AS rows FROM lineitem GROUP BY ALL")
+def rows_by_state(spark, d):
+    return compare.by_state(t(spark, d, "lineitem").select(F.when(F.col("l_linestatus") == "F", "changed").otherwise("unchanged").alias("state")))
+
+
+@query("SELECT DISTINCT CASE WHEN l_linenumber % 3 = 0 THEN 'sp' ELSE 'slr' END AS kind, l_suppkey AS cu, l_linestatus AS port, l_returnflag AS target FROM lineitem WHERE l_linenumber % 3 < 2")
+def memory_bindings(spark, d):
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "sp").when(F.col("l_linenumber") % 3 == 1, "slr").otherwise("clock")
+    return compare.bindings(t(spark, d, "lineitem").select(kind.alias("kind"), F.col("l_suppkey").alias("cu"), F.col("l_linestatus").alias("port"), F.col("l_returnflag").alias("target")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0 THEN l_orderkey / (l_discount * 100) / 1000 END AS updates_per_us,
+  CASE WHEN l_discount > 0 THEN l_partkey * l_linenumber / (l_discount * 100) / 1000 END AS mteps FROM lineitem""")
+def throughput_rates(spark, d):
+    ms = F.col("l_discount") * 100
+    rates = updates.updates_per_microsecond(F.col("l_orderkey"), ms), gas.mteps(F.col("l_partkey"), F.col("l_linenumber"), ms)
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", rates[0].alias("updates_per_us"), rates[1].alias("mteps"))
+
+
+@query("SELECT p_partkey, p_partkey AS from_hex, p_partkey AS from_decimal, CASE WHEN p_partkey % 3 > 0 THEN CAST(p_size AS DOUBLE) + 0.5 END AS number FROM part")
+def parsed_ids(spark, d):
+    rows = t(spark, d, "part")
+    padded = F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(".5 "))
+    text = F.when(F.col("p_partkey") % 3 == 1, padded).when(F.col("p_partkey") % 3 == 2, F.trim(padded)).otherwise("n/a")
+    return rows.select(
+        "p_partkey", fn.parse_id(F.concat(F.lit("0x"), F.hex("p_partkey"))).alias("from_hex"), fn.parse_id(F.col("p_partkey").cast("string"), "10").alias("from_decimal"), fn.number(text).alias("number")
+    )
+
+
+@query(f"WITH {TRANS} SELECT u.user_id AS vertex, CASE WHEN u.user_id = 0 THEN 0 ELSE min(weight) END AS distance FROM (SELECT unnest(range(0, 200)) AS user_id) u LEFT JOIN tr ON tr.src = 0 AND tr.dst = u.user_id GROUP BY u.user_id")
+def all_vertex_distances(spark, d):
+    return gas.all_distances(gas.sssp(transitions(spark, d), 0, 1), 200)
