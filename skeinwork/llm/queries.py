@@ -6,8 +6,9 @@ import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skeinwork.llm import language_id, packing, quality_net, quality_rules, sentencepiece_lattice, simhash, suffix_dedup, token_files, topk, toxicity
+from skeinwork.llm import language_id, merkle, packing, quality_net, quality_rules, sentencepiece_lattice, simhash, suffix_dedup, token_files, topk, toxicity
 from skeinwork.llm.common import lean_batches, table
 
 
@@ -65,7 +66,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = (op1_quality_net, op2_topk, op3_sentencepiece, op4_quality_rules, op5_simhash, op6_token_files, op7_packing, op8_language_id, op9_toxicity, op10_suffix_dedup)
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.manifest_of_documents(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+QUERIES = (op1_quality_net, op2_topk, op3_sentencepiece, op4_quality_rules, op5_simhash, op6_token_files, op7_packing, op8_language_id, op9_toxicity, op10_suffix_dedup, op11_merkle)
 
 
 def lean(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -82,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.ORACLE, "op4_quality_rules": quality_rules.oracle()}
+    return {"op2_topk": topk.ORACLE, "op4_quality_rules": quality_rules.oracle(), "op11_merkle": merkle.oracle()}
