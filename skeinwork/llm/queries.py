@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import language_id, merkle, packing, quality_net, quality_rules, sentencepiece_lattice, simhash, suffix_dedup, token_files, topk, toxicity
+from skeinwork.llm import language_id, merkle, packing, quality_net, quality_rules, sentencepiece_lattice, simhash, suffix_dedup, token_files, topk, toxicity, vector_codes
 from skeinwork.llm.common import lean_batches, table
 
 
@@ -71,7 +71,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
 
 
-QUERIES = (op1_quality_net, op2_topk, op3_sentencepiece, op4_quality_rules, op5_simhash, op6_token_files, op7_packing, op8_language_id, op9_toxicity, op10_suffix_dedup, op11_merkle)
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+QUERIES = (op1_quality_net, op2_topk, op3_sentencepiece, op4_quality_rules, op5_simhash, op6_token_files, op7_packing, op8_language_id, op9_toxicity, op10_suffix_dedup, op11_merkle, op13_vector_codes)
 
 
 def lean(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -88,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.ORACLE, "op4_quality_rules": quality_rules.oracle(), "op11_merkle": merkle.oracle()}
+    return {"op2_topk": topk.ORACLE, "op4_quality_rules": quality_rules.oracle(), "op11_merkle": merkle.oracle(), "op13_vector_codes": vector_codes.oracle()}
