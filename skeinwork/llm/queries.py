@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import language_id, merkle, packing, quality_net, quality_rules, sentencepiece_lattice, simhash, suffix_dedup, token_files, topk, toxicity, vector_codes
+from skeinwork.llm import language_id, merkle, packing, quality_net, quality_rules, secret_scan, sentencepiece_lattice, simhash, suffix_dedup, token_files, topk, toxicity, vector_codes
 from skeinwork.llm.common import lean_batches, table
 
 
@@ -71,11 +71,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
 
 
-QUERIES = (op1_quality_net, op2_topk, op3_sentencepiece, op4_quality_rules, op5_simhash, op6_token_files, op7_packing, op8_language_id, op9_toxicity, op10_suffix_dedup, op11_merkle, op13_vector_codes)
+QUERIES = (op1_quality_net, op2_topk, op3_sentencepiece, op4_quality_rules, op5_simhash, op6_token_files, op7_packing, op8_language_id, op9_toxicity, op10_suffix_dedup, op11_merkle, op12_secret_scan, op13_vector_codes)
 
 
 def lean(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
