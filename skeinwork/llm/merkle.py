@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -168,34 +168,38 @@ def ragged_nodes(leaves: DataFrame, runs: DataFrame) -> DataFrame:
     return by_partition(leaves.select("part", "at", "leaf"), info).mapInArrow(build, "grp string, total long, level int, idx long, digest string, part int")
 
 
-def finish(group: pd.DataFrame, target: int) -> pd.DataFrame:
-    """Nodes of one coordinate built up to level ``target`` or the root.
+def finish(target: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Builds the nodes of one coordinate up to level ``target`` or the root.
 
     A row for each given node, with its siblings up to that level and where they lead;
     and one row for the node there (path null).
     """
-    grp, total = group["grp"].iloc[0], int(group["total"].iloc[0])
-    top = min(target, height(total))
-    given = list(zip(group["level"], group["idx"], group["digest"], strict=True))
-    by_level: list[dict[int, str]] = [{} for _ in range(top + 1)]
-    for level, idx, digest in given:
-        by_level[level][idx] = digest
-    sizes = [total]
-    for level in range(top):
-        n = sizes[-1]
-        for p in {i // FAN for i in by_level[level]}:
-            by_level[level + 1][p] = joined_hash([by_level[level][i] for i in range(FAN * p, min(FAN * p + FAN, n))])
-        sizes.append(-(-n // FAN))
-    rows = []
-    for level, idx, _ in given:
-        at, path = idx, []
-        for up in range(level, top):
-            path += [by_level[up][i] for i in siblings(at, sizes[up])]
-            at //= FAN
-        rows.append((grp, total, level, idx, None, top, at, "".join(path)))
-    (idx, digest), *_ = by_level[top].items()
-    rows.append((grp, total, top, idx, digest, top, idx, None))
-    return pd.DataFrame(rows, columns=["grp", "total", "level", "idx", "digest", "to_level", "to_idx", "path"])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        grp, total = group["grp"].iloc[0], int(group["total"].iloc[0])
+        top = min(target, height(total))
+        given = list(zip(group["level"], group["idx"], group["digest"], strict=True))
+        by_level: list[dict[int, str]] = [{} for _ in range(top + 1)]
+        for level, idx, digest in given:
+            by_level[level][idx] = digest
+        sizes = [total]
+        for level in range(top):
+            n = sizes[-1]
+            for p in {i // FAN for i in by_level[level]}:
+                by_level[level + 1][p] = joined_hash([by_level[level][i] for i in range(FAN * p, min(FAN * p + FAN, n))])
+            sizes.append(-(-n // FAN))
+        rows = []
+        for level, idx, _ in given:
+            at, path = idx, []
+            for up in range(level, top):
+                path += [by_level[up][i] for i in siblings(at, sizes[up])]
+                at //= FAN
+            rows.append((grp, total, level, idx, None, top, at, "".join(path)))
+        (idx, digest), *_ = by_level[top].items()
+        rows.append((grp, total, top, idx, digest, top, idx, None))
+        return pd.DataFrame(rows, columns=["grp", "total", "level", "idx", "digest", "to_level", "to_idx", "path"])
+
+    return run
 
 
 def upper_paths(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -213,7 +217,7 @@ def upper_paths(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         low = open_.where(F.col("level") < target)
         coordinate = F.floor(F.col("idx") / F.pow(F.lit(FAN), F.lit(target) - F.col("level"))).cast("long").alias("coordinate")
         schema = "grp string, total long, level int, idx long, digest string, to_level int, to_idx long, path string"
-        done = materialize(low.groupBy("grp", coordinate).applyInPandas(lambda g, t=target: finish(g, t), schema), "merkle-round")
+        done = materialize(low.groupBy("grp", coordinate).applyInPandas(finish(target), schema), "merkle-round")
         step = done.where("path IS NOT NULL").select("grp", F.col("level").alias("to_level"), F.col("idx").alias("to_idx"), F.col("to_level").alias("__level"), F.col("to_idx").alias("__idx"), F.col("path").alias("__path"))
         joined = start.join(step, ["grp", "to_level", "to_idx"], "left")
         moved = {"to_level": F.coalesce("__level", "to_level"), "to_idx": F.coalesce("__idx", "to_idx"), "path": F.concat("path", F.coalesce("__path", F.lit("")))}

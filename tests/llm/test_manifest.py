@@ -87,8 +87,18 @@ def test_climb():
                 assert covered == list(range(lo, hi)), (total, lo, hi)
 
 
-@pytest.mark.parametrize("step", [1, 2, 9])
-def test_manifest(spark, step, monkeypatch):
+@pytest.fixture
+def many_partitions(spark):
+    """No partition is joined with the next one, and each has a part of the rows."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("step", [1, 9])
+def test_manifest(spark, many_partitions, step, monkeypatch):
     """Sizes around powers of three, one hot group, null and empty values; any number of levels finished by a shuffle."""
     r = random.Random(step)
     monkeypatch.setattr(merkle, "STEP", step)
@@ -100,9 +110,11 @@ def test_manifest(spark, step, monkeypatch):
     rows += [rows[5]] * 4
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     assert result(df) == brute(rows)
+    leaves = df.select(F.coalesce("source", F.lit("none")).alias("grp"), "doc_id", F.sha2("text", 256).alias("leaf"))
+    assert merkle.in_order(leaves, ["doc_id"]).where("grp = 'hot'").select("part").distinct().count() > 3
 
 
-def test_odd_tables(spark):
+def test_odd_tables(spark, many_partitions):
     df = spark.createDataFrame([(4, "a\nb", "en", "s", 3)], SCHEMA)
     assert result(df) == brute([(4, "a\nb", "en", "s", 3)])
     assert result(df.limit(0)) == []
