@@ -302,6 +302,17 @@ def distance_mismatch_count(spark, d):
     return gas.mismatches(sssp_bounded_k1(spark, d), sssp_bounded_k2(spark, d))
 
 
+@query(f"""WITH a AS ({_sssp_sql(1)}), {TRANS}, d AS (SELECT vertex, distance + CAST(vertex % 10 = 3 AS BIGINT) AS distance FROM a),
+o AS (SELECT t.dst AS vertex, min(d.distance + t.weight) AS offer FROM d JOIN tr t ON t.src = d.vertex GROUP BY t.dst)
+SELECT 1 - count(*) FILTER (vertex = 0 AND distance = 0) AS wrong_source, count(*) FILTER (offer IS NOT NULL AND (distance IS NULL OR offer < distance)) AS relaxable,
+  count(*) FILTER (distance IS NOT NULL AND vertex <> 0 AND coalesce(offer > distance, true)) AS unsupported, CAST(0 AS BIGINT) AS repeated, (SELECT count(*) FILTER (weight <= 0) FROM tr) AS weights
+FROM d FULL JOIN o USING (vertex)""")
+def distance_certificate(spark, d):
+    early = sssp_bounded_k1(spark, d)
+    wrong = early.select("vertex", (F.col("distance") + (F.col("vertex") % 10 == 3).cast("long")).alias("distance"))
+    return gas.certificate(transitions(spark, d), wrong, 0)
+
+
 # -- pairs and snapshots ---------------------------------------------------------------------
 
 CHAIN = """chain AS (SELECT 'n' || c_nationkey AS "case", CASE WHEN count(*) % 3 = 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS vertices, count(*) * 2 AS final_edges,

@@ -28,6 +28,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def can_checkpoint(spark: SparkSession) -> None:
+    """Have ``DataFrame.checkpoint`` write to the shared folder."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_path(spark, "checkpoints"))
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
     path = shared_path(df.sparkSession, name)
