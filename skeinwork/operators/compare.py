@@ -28,9 +28,9 @@ def parse_pair(text: str) -> Pair:
 
 
 def last_per_key(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The last row in ``order`` of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The last row in ``order`` of each key, combined before the shuffle; a null order comes first."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.groupBy(*keys).agg(F.max_by(whole, F.struct(F.col(order).isNotNull(), order)).alias("__row")).select("__row.*")
 
 
 def first_per_key(rows: DataFrame, keys: Sequence[str], order: str | Sequence[Column]) -> DataFrame:
@@ -51,6 +51,11 @@ def notes(chain_there: Column, level_there: Column, chain_status: Column, level_
     )
 
 
+def total_ms(update: Column, compute: Column) -> Column:
+    """Time of an update and the computation after it; null if one of them is."""
+    return update + compute
+
+
 def paired(pairs: DataFrame, chain: DataFrame, level: DataFrame) -> DataFrame:
     """Each pair (chain_case, level_case, label) with both sides; a missing side stays, with a note.
 
@@ -59,7 +64,7 @@ def paired(pairs: DataFrame, chain: DataFrame, level: DataFrame) -> DataFrame:
     """
     c = chain.select(F.col("case").alias("chain_case"), F.lit(True).alias("__c"), F.col("status").alias("chain_status"), F.col("vertices").alias("chain_vertices"), F.col("final_edges").alias("chain_final_edges"), number(F.col("update_ms").cast("string")).alias("update_ms"), number(F.col("compute_e2e_ms").cast("string")).alias("compute_e2e_ms"))
     s = level.select(F.col("case").alias("level_case"), F.lit(True).alias("__l"), F.col("status").alias("level_status"), F.col("vertices").alias("level_vertices"), F.col("input_edges").alias("level_input_edges"), number(F.col("kernel_e2e_ms").cast("string")).alias("level_kernel_ms"), (number(F.col("maint_ms").cast("string")) + number(F.col("conv_ms").cast("string"))).alias("level_maint_conv_ms"))
-    rows = pairs.join(c, "chain_case", "left").join(s, "level_case", "left").withColumn("chain_total_ms", F.col("update_ms") + F.col("compute_e2e_ms"))
+    rows = pairs.join(c, "chain_case", "left").join(s, "level_case", "left").withColumn("chain_total_ms", total_ms(F.col("update_ms"), F.col("compute_e2e_ms")))
     text = {k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in ("chain_status", "level_status", "chain_vertices", "chain_final_edges", "level_vertices", "level_input_edges")}
     note = notes(F.coalesce("__c", F.lit(False)), F.coalesce("__l", F.lit(False)), F.col("chain_status"), F.col("level_status"))
     rows = rows.withColumn("notes", note).withColumns(text)

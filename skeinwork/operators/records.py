@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinwork.storage import settle
+
 #: Metrics (milliseconds) of a record; the first is the one that is compared.
 METRICS = (
     "resident_batch_end_to_end_ms", "cold_workload_end_to_end_ms", "workload_end_to_end_ms", "update_device_ms", "compute_device_ms", "combined_device_ms",
@@ -20,10 +22,34 @@ def flag(c: str) -> Column:
 
 
 def stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """count, minimum, p10, median, p90, maximum of non-null values; percentiles interpolate between ranks."""
-    p = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    got = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(value).alias("count"), F.min(value).alias("minimum"), p.alias("p"), F.max(value).alias("maximum"))
-    return got.select(*by, "count", "minimum", F.col("p")[0].alias("p10"), F.col("p")[1].alias("median"), F.col("p")[2].alias("p90"), "maximum")
+    """count, minimum, p10, median, p90, maximum of non-null values; percentiles interpolate between ranks.
+
+    Equal values of a group are counted first.  The rest is sorted by range over all
+    tasks; the sums of each group's counts in earlier partitions give every value its
+    ranks, and those at the wanted ranks are picked by aggregates.  So no group is
+    gathered in one task, and none but a partition is sorted there.
+    """
+    names = {f"__by{k}": F.col(c) for k, c in enumerate(by)}
+    values = rows.where(F.col(value).isNotNull()).select(*[c.alias(n) for n, c in names.items()], F.col(value).alias("__value"))
+    values = values.groupBy(*names, "__value").agg(F.count(F.lit(1)).alias("__n"))
+    placed = settle(values.repartitionByRange(*[F.asc(n) for n in names], F.asc("__value")).withColumn("__part", F.spark_partition_id()), "sorted-values")
+    placed = placed.withColumn("__group", F.struct(*names) if names else F.lit(0))  # null keys are equal
+    runs = placed.groupBy("__part", "__group").agg(F.sum("__n").alias("__of_part"))
+    group = Window.partitionBy("__group")  # a row a partition
+    runs = runs.select("__part", "__group", (F.sum("__of_part").over(group.orderBy("__part")) - F.col("__of_part")).alias("__before"), F.sum("__of_part").over(group).alias("__total"))
+    to = F.sum("__n").over(Window.partitionBy("__part", "__group").orderBy("__value"))
+    ranked = placed.withColumn("__to", to).join(runs, ["__part", "__group"]).withColumn("__to", F.col("__to") + F.col("__before"))
+    rank = {q: (F.col("__total") - 1) * F.lit(q) for q in (0.1, 0.5, 0.9)}
+    at = lambda r: (F.col("__to") - F.col("__n") <= r) & (r < F.col("__to"))
+    ends = [F.max(F.when(at(f(r)), F.col("__value"))).alias(f"__{k}_{name}") for k, r in enumerate(rank.values()) for name, f in (("low", F.floor), ("high", F.ceil))]
+    got = ranked.groupBy(*names).agg(F.sum("__n").alias("count"), F.min("__value").alias("minimum"), *ends, F.max("__value").alias("maximum"), F.max("__total").alias("__total"))
+
+    def between(k: int, r: Column) -> Column:
+        low, high, share = F.col(f"__{k}_low"), F.col(f"__{k}_high"), r - F.floor(r)
+        return F.when(low == high, low).otherwise((1 - share) * low + share * high)
+
+    p = {name: between(k, r) for k, (name, r) in enumerate(zip(("p10", "median", "p90"), rank.values(), strict=True))}
+    return got.select(*[F.col(n).alias(c) for n, c in zip(names, by, strict=True)], "count", "minimum", *[c.cast("double").alias(n) for n, c in p.items()], "maximum")
 
 
 def metric_stats(records: DataFrame, metrics: Sequence[str], by: Sequence[str] = ("case_id", "system")) -> DataFrame:
@@ -119,8 +145,10 @@ def summarize(records: DataFrame, selection: DataFrame, systems: Sequence[str],
         F.count(F.lit(1)).alias("runs_total"), F.count_if(measured).alias("measured_runs"), F.count_if(good).alias("correct_runs"),
         F.bool_and(F.when(measured, F.coalesce(same, F.lit(False)))).alias("identity_ok"), F.bool_and(F.when(measured, claim_eligible(present=present))).alias("__eligible"),
         F.bool_and(F.when(measured, source_clean(strict))).alias("__clean"), F.count(F.when(good, F.col(metric))).alias("__comparable"),
-        F.percentile(F.when(good, F.col(metric)), 0.5).alias("median_ms"), *identities,
+        *identities,
     )
+    medians = stats(rows.where(good), ["case_id", "system"], metric).select("case_id", "system", F.col("median").alias("median_ms"))
+    agg = agg.join(medians, ["case_id", "system"], "left")
     agg = agg.withColumn("__artifacts", F.array_compact(F.array(*[F.col(f"__{k}") for k in keys])) if keys else F.array().cast("array<boolean>"))
     all_ = grid(rows, systems).join(agg, ["case_id", "system"], "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("runs_total", "measured_runs", "correct_runs", "__comparable")}
@@ -147,7 +175,35 @@ def all_eligible(rankings: DataFrame) -> DataFrame:
     return rankings.agg(F.coalesce(F.bool_and("eligible"), F.lit(False)).alias("all_eligible"))
 
 
-def summary_json(groups: DataFrame, rankings: DataFrame) -> DataFrame:
-    """One JSON text for each case: its groups by system, and its ranking."""
-    by = groups.groupBy("case_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("system", F.struct("runs_total", "warmups", "measured_runs", "correct_runs", "identity_ok", "claim_eligible", "blockers", "median_ms"))))).alias("groups"))
-    return by.join(rankings, "case_id").select("case_id", F.to_json(F.struct("groups", F.struct("eligible", "winner", "winner_median").alias("ranking"))).alias("json"))
+def summary_json(groups: DataFrame, rankings: DataFrame, statistics: DataFrame | None = None, inputs: DataFrame | None = None) -> DataFrame:
+    """One JSON text for each case: its groups by system, each with its statistics by metric, its ranking and the inputs' hashes.
+
+    ``statistics``: what ``metric_stats`` gives; ``inputs``: path and sha256 of the few
+    files that were read.  A group without values has empty statistics.
+    """
+    group = ["runs_total", "warmups", "measured_runs", "correct_runs", "identity_ok", "claim_eligible", "blockers", "median_ms"]
+    if statistics is not None:
+        numbers = F.struct("count", "minimum", "p10", "median", "p90", "maximum")
+        nested = statistics.groupBy("case_id", "system").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", numbers)))).alias("statistics"))
+        none = F.create_map().cast(nested.schema["statistics"].dataType)
+        groups = groups.join(nested, ["case_id", "system"], "left").withColumn("statistics", F.coalesce("statistics", none))
+        group.append("statistics")
+    by = groups.groupBy("case_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("system", F.to_json(F.struct(*group)).alias("text"))))).alias("texts"))
+    whole = by.join(rankings, "case_id").withColumn("ranking", F.to_json(F.struct("eligible", "winner", "winner_median")))
+    named = F.concat_ws(",", F.transform(F.map_entries("texts"), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"])))
+    parts = [F.lit('{"groups":{'), named, F.lit('},"ranking":'), F.col("ranking")]
+    if inputs is not None:
+        hashes = inputs.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", "sha256"))))).alias("inputs"))  # one row
+        whole = whole.join(F.broadcast(hashes), F.lit(True))
+        parts += [F.lit(',"inputs":'), F.col("inputs")]
+    return whole.select("case_id", F.concat(*parts, F.lit("}")).alias("json"))
+
+
+def _quoted(text: Column) -> Column:
+    """A JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+
+
+def named_metrics(records: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``records`` with the metrics of a file under their names here; ``names``: name in the file -> name in METRICS."""
+    return records.withColumnsRenamed({k: v for k, v in names.items() if k in records.columns})

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skeinwork import functions as fn
 from skeinwork.operators import compare, gas, generate, levels, records, status, updates
-from skeinwork.sources import reports
+from skeinwork.sources import files, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -366,7 +366,7 @@ def pair_notes(spark, d):
 
 @query("SELECT o_orderkey, o_totalprice + o_custkey AS total_ms FROM orders")
 def derived_totals(spark, d):
-    return t(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") + F.col("o_custkey")).alias("total_ms"))
+    return t(spark, d, "orders").select("o_orderkey", compare.total_ms(F.col("o_totalprice"), F.col("o_custkey")).alias("total_ms"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount <> 0 THEN l_tax / l_discount END AS ratio FROM lineitem")
@@ -501,6 +501,23 @@ def rank_winner(spark, d):
     return records.rank(s.select("case_id", "system", "ord", F.col("median").alias("median_ms"), (F.col("count") >= 100).alias("claim_eligible"))).withColumn("winner_median", F.round("winner_median", 6))
 
 
+@query(f"""WITH {RUNS}, s AS (SELECT case_id, system, quantile_cont(ms, 0.5) AS median, quantile_cont(ms, 0.9) AS p90, count(*) AS n FROM runs WHERE NOT warmup AND correct AND system IN ('view', 'click', 'purchase') GROUP BY ALL)
+SELECT case_id, CAST(3 AS BIGINT) AS systems, round(max(median) FILTER (system = 'view'), 6) AS view_median, round(max(p90) FILTER (system = 'click'), 6) AS click_p90,
+  max(n) FILTER (system = 'purchase') AS purchase_count, 'abc' AS input_sha256 FROM s GROUP BY case_id""")
+def ranking_summary(spark, d):
+    r = full_records(spark, d)
+    selection = r.select("case_id").distinct().select("case_id", F.col("case_id").alias("expected_sha256"), F.lit(0).cast("long").alias("expected_source"))
+    g = records.summarize(r, selection, SYSTEMS, minimum=120)
+    inputs = spark.createDataFrame([("runs.jsonl", "abc")], "path string, sha256 string")
+    texts = records.summary_json(g, records.rank(g), records.metric_stats(r, records.METRICS[:1]), inputs)
+    at = lambda path: F.get_json_object("json", f"$.{path}")
+    number = lambda system, what: at(f"groups.{system}.statistics.{records.METRICS[0]}.{what}")
+    return texts.select(
+        "case_id", F.size(F.json_object_keys(at("groups"))).cast("long").alias("systems"), F.round(number("view", "median").cast("double"), 6).alias("view_median"), F.round(number("click", "p90").cast("double"), 6).alias("click_p90"),
+        number("purchase", "count").cast("long").alias("purchase_count"), F.get_json_object("json", "$.inputs['runs.jsonl']").alias("input_sha256"),
+    )
+
+
 # -- text ------------------------------------------------------------------------------------------
 
 
@@ -605,3 +622,34 @@ def parsed_ids(spark, d):
 @query(f"WITH {TRANS} SELECT u.user_id AS vertex, CASE WHEN u.user_id = 0 THEN 0 ELSE min(weight) END AS distance FROM (SELECT unnest(range(0, 200)) AS user_id) u LEFT JOIN tr ON tr.src = 0 AND tr.dst = u.user_id GROUP BY u.user_id")
 def all_vertex_distances(spark, d):
     return gas.all_distances(gas.sssp(transitions(spark, d), 0, 1), 200)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_orderkey AS VARCHAR) AS vertices, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS errors, CAST(2 AS INTEGER) AS words FROM lineitem")
+def kv_token_map(spark, d):
+    line = F.concat_ws(" ", F.lit("TAG_SMOKE PASS vertices=0"), F.concat(F.lit("vertices="), "l_orderkey"), F.lit("noise"), F.concat(F.lit("errors="), F.col("l_quantity").cast("long")))
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", fn.tokens_to_map(line).alias("kv"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.col("kv")["vertices"].alias("vertices"), F.col("kv")["errors"].alias("errors"), F.size("kv").alias("words"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'TAG n=2 PASS' WHEN o_orderstatus = 'O' THEN 'TAG n=1 step' END AS line FROM orders""")
+def result_lines(spark, d):
+    log = F.when(F.col("o_orderstatus") == "F", "start\nTAG n=1 step\nTAG n=2 PASS\nTAG n=3 FAIL").when(F.col("o_orderstatus") == "O", " TAG n=0 PASS\nTAG n=1 step\nTAG n=2 step").otherwise("PASS\nnothing")
+    return t(spark, d, "orders").select("o_orderkey", status.result_line(log, "TAG").alias("line"))
+
+
+@query("""SELECT DISTINCT c_nationkey AS folder, c_mktsegment AS name FROM customer WHERE (c_nationkey, c_mktsegment) NOT IN (SELECT (c_nationkey, c_mktsegment) FROM customer WHERE c_acctbal > 9000)""")
+def missing_artifacts(spark, d):
+    each = t(spark, d, "customer").select(F.col("c_nationkey").alias("folder"), F.col("c_mktsegment").alias("name"), "c_acctbal")
+    return files.missing(each.select("folder", "name").distinct(), each.where("c_acctbal > 9000"), ["folder", "name"])
+
+
+@query("SELECT user_id AS folder, event_id AS path, ts AS mtime FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def newest_file(spark, d):
+    return files.newest(t(spark, d, "events").select(F.col("user_id").alias("folder"), F.col("event_id").alias("path"), F.col("ts").alias("mtime")), ["folder"])
+
+
+@query("""WITH l AS (SELECT conv_id AS file, turn AS line_no, text AS value, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
+SELECT file, line_no, value, 'head' AS part FROM l WHERE line_no <= 2 UNION ALL SELECT file, line_no, value, 'tail' FROM l WHERE line_no > last - 2""")
+def head_and_tail(spark, d):
+    rows = t(spark, d, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("line_no"), F.col("text").alias("value"))
+    return files.head(rows, 2).withColumn("part", F.lit("head")).unionByName(files.tail(rows, 2).withColumn("part", F.lit("tail")))
