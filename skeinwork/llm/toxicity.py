@@ -25,6 +25,7 @@ table of the corpus is broadcast or sent to the driver, texts are never shuffled
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -214,19 +215,25 @@ def sliced(docs: DataFrame) -> DataFrame:
             )
 
         for whole in batches:
-            for b in slices(whole, "words", WORK_BYTES):
-                sample = b.column("sample")[0].as_py()  # the same in all rows of a partition
-                ids, row = b.column("doc_id"), len(part.ids)
-                part.ids += ids.to_pylist()
-                off, data = string_buffers(b.column("words"))
-                if len(data) > 2 * WORK_BYTES and b.num_rows == 1:
-                    for piece in pieces(data, WORK_BYTES):
-                        part.add(row, np.array([0, len(piece)]), piece)
-                else:
-                    part.add(row, off, data)
-                if part.bytes >= SLICE_BYTES or len(part.ids) >= SLICE_ROWS:
+            flags = whole.column("sample").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(flags[1:] != flags[:-1]) + 1).tolist(), len(flags)]
+            for lo, hi in itertools.pairwise(edges):
+                if lo < hi and part.ids and sample != flags[lo]:  # a slice has rows of one kind
                     yield out(part)
                     part = Slice()
+                for b in slices(whole.slice(lo, hi - lo), "words", WORK_BYTES):
+                    sample = bool(flags[lo])
+                    ids, row = b.column("doc_id"), len(part.ids)
+                    part.ids += ids.to_pylist()
+                    off, data = string_buffers(b.column("words"))
+                    if len(data) > 2 * WORK_BYTES and b.num_rows == 1:
+                        for piece in pieces(data, WORK_BYTES):
+                            part.add(row, np.array([0, len(piece)]), piece)
+                    else:
+                        part.add(row, off, data)
+                    if part.bytes >= SLICE_BYTES or len(part.ids) >= SLICE_ROWS:
+                        yield out(part)
+                        part = Slice()
         if part.ids:
             yield out(part)
 

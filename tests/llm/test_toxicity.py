@@ -159,3 +159,15 @@ def test_real_labels(scored):
     assert ((held.predicted == 1) & ~toxic).sum() <= 0.03 * (~toxic).sum()
     assert caught[held.lang == "en"].sum() >= 0.9 * (toxic & (held.lang == "en")).sum()
     assert caught.sum() >= 0.75 * toxic.sum()
+
+
+def test_partitioning_changes_nothing(spark):
+    """Input that is partitioned alike by a hash of the id shares its partitions with the curve's sample."""
+    small = SF.replace("sf0.1", "sf0.01")
+    docs, labels = table(spark, small, "documents").select("doc_id", "text"), table(spark, small, "labels")
+    scores = [{r["doc_id"]: r["score"] for r in toxicity.assess(d, labels).collect()} for d in (docs, docs.repartition(4, "doc_id"))]
+    assert scores[0].keys() == scores[1].keys() and len(scores[0]) == 1000
+    assert all(abs(scores[0][k] - scores[1][k]) < 1e-4 for k in scores[0])
+    parts = toxicity.sliced(docs.repartition(4, "doc_id").withColumn("sample", F.col("doc_id") % 3 == 0))
+    got = parts.select("sample", F.explode("ids").alias("id")).collect()
+    assert len(got) == 1000 and all(r["sample"] == (r["id"] % 3 == 0) for r in got)
