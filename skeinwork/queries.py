@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork import functions as fn
+from skeinwork import storage
 from skeinwork.operators import compare, gas, generate, levels, records, status, updates
-from skeinwork.sources import files, reports
+from skeinwork.sources import files, ranges, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -653,3 +654,40 @@ SELECT file, line_no, value, 'head' AS part FROM l WHERE line_no <= 2 UNION ALL
 def head_and_tail(spark, d):
     rows = t(spark, d, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("line_no"), F.col("text").alias("value"))
     return files.head(rows, 2).withColumn("part", F.lit("head")).unionByName(files.tail(rows, 2).withColumn("part", F.lit("tail")))
+
+
+# -- exchange files written from the tables, read back by byte ranges ----------------
+
+
+def written(lines: DataFrame, name: str) -> str:
+    """The folder of text files, one for each task, that the lines were written to."""
+    path = storage.shared_path(lines.sparkSession, name)
+    lines.write.text(path)
+    return path
+
+
+@query("SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem")
+def exchange_result_edges(spark, d):
+    edges = updates.dedup(t(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")))
+    return ranges.read(spark, written(edges.select(fn.hex_edge(F.col("src"), F.col("dst"))), "result"), "result").select("src", "dst")
+
+
+@query("""SELECT l_suppkey AS src, l_partkey AS dst, CASE l_linenumber % 3 WHEN 0 THEN 1 ELSE l_orderkey END AS weight, CASE l_linenumber % 3 WHEN 2 THEN -l_linenumber ELSE 1 END AS diff FROM lineitem""")
+def exchange_level_edges(spark, d):
+    src, dst = F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")
+    literal = F.concat(F.lit("0x"), F.hex("l_orderkey"))
+    line = (
+        F.when(F.col("l_linenumber") % 3 == 0, F.concat_ws(" ", src, dst))
+        .when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("# an edge\n\n"), src, F.lit("\t"), dst, F.lit(" "), literal, F.lit(" # with weight")))
+        .otherwise(F.concat_ws(" ", src, dst, "l_orderkey", -F.col("l_linenumber")))
+    )
+    return ranges.read(spark, written(t(spark, d, "lineitem").select(line), "edges"), "edges").select("src", "dst", "weight", "diff")
+
+
+@query("""SELECT l_suppkey AS src, l_partkey AS dst, CASE l_linenumber % 3 WHEN 1 THEN l_orderkey % 65536 ELSE 1 END AS weight, CASE l_linenumber % 3 WHEN 1 THEN -l_linenumber ELSE 1 END AS diff
+FROM lineitem WHERE l_linenumber % 5 > 0""")
+def exchange_native_edges(spark, d):
+    weight = F.when(F.col("l_linenumber") % 3 == 0, "n/a").when(F.col("l_linenumber") % 3 == 1, (F.col("l_orderkey") % 65536).cast("string"))
+    diff = F.when(F.col("l_linenumber") % 3 < 2, (-F.col("l_linenumber")).cast("string"))
+    line = F.concat_ws(" ", F.when(F.col("l_linenumber") % 5 == 0, "skipped"), "l_suppkey", "l_partkey", weight, diff)
+    return ranges.read(spark, written(t(spark, d, "lineitem").select(line), "native"), "native").select("src", "dst", "weight", "diff")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from skeinwork.operators import levels
 from skeinwork.storage import settle
@@ -20,6 +23,48 @@ def live_edges(updates: DataFrame) -> DataFrame:
     return last_operations(updates).where(F.col("typ") != 0).select("src", "dst")
 
 
+class LastOperation(StatefulProcessor):
+    """Keeps (seq, typ) of the last operation on an edge, and tells when the edge comes or goes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "seq long, typ int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        before = self.last.get() if self.last.exists() else None
+        last = before
+        for part in rows:
+            r = part.loc[part["seq"].idxmax()]
+            # an operation that was seen already, or that a later one has overtaken, changes nothing
+            if last is None or r["seq"] > last[0]:
+                last = (int(r["seq"]), int(r["typ"]))
+        if last == before:
+            return
+        self.last.update(last)
+        present = last[1] != 0
+        if present != (before is not None and before[1] != 0):
+            yield pd.DataFrame({"src": [key[0]], "dst": [key[1]], "seq": [last[0]], "present": [present]})
+
+    def close(self) -> None:
+        pass
+
+
+def changes(updates: DataFrame) -> DataFrame:
+    """src, dst, seq, present: one row for each edge that a micro-batch of updates (seq, src, dst, typ) brings or takes away.
+
+    Unlike ``live_edges``, a trigger writes only what it changes.  State is a number
+    and a type an edge, in the state store; updates may come in any order and more than
+    once.  Rows with a null in src, dst, seq or typ are left out.  Write it in update
+    or append mode; the session needs RocksDB as its state store.
+    """
+    rows = updates.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("seq").cast("long").alias("seq"), F.col("typ").cast("int").alias("typ")).dropna()
+    return rows.groupBy("src", "dst").transformWithStateInPandas(LastOperation(), outputStructType="src long, dst long, seq long, present boolean", outputMode="Update", timeMode="None")
+
+
+def edges_after(changed: DataFrame) -> DataFrame:
+    """The edge set that all written changes lead to."""
+    return changed.groupBy("src", "dst").agg(F.max_by("present", "seq").alias("present")).where("present").select("src", "dst")
+
+
 def rates(events: DataFrame, ts: str = "ts", width: str = "10 minutes", slide: str | None = None, late: str = "30 minutes", by: tuple[str, ...] = ()) -> DataFrame:
     """Events in tumbling or sliding windows; rows later than ``late`` are left out by a stream."""
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
