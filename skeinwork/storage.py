@@ -44,10 +44,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(df: DataFrame | None) -> None:
-    """Delete what ``settle`` wrote for ``df``; nothing may read it afterwards."""
+    """Delete what ``settle`` or ``in_buckets`` wrote for ``df``; nothing may read it afterwards."""
     path = getattr(df, "_settled_at", None)
     if path:
         spark = df.sparkSession
+        if getattr(df, "_named", None):
+            spark.sql(f"DROP TABLE IF EXISTS `{df._named}`")
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -56,8 +58,11 @@ def in_buckets(df: DataFrame, key: str, name: str) -> DataFrame:
     """``df`` written in buckets of ``key`` to the shared folder: joins on the key don't shuffle it again."""
     spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").bucketBy(n, key).option("path", shared_path(spark, name)).saveAsTable(name)
-    return spark.read.table(name)
+    path = shared_path(spark, name)
+    df.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(name)
+    out = spark.read.table(name)
+    out._settled_at, out._named = path, name
+    return out
 
 
 def with_row_index(df: DataFrame, order: list[str], name: str = "row_index") -> DataFrame:
