@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import fold_of, gathered, held_out, in_buckets, materialize, segment_sum, slices, string_buffers
+from skeinwork.llm.common import fold_of, forget, gathered, held_out, in_buckets, materialize, segment_sum, slices, string_buffers
 
 #: Bytes of an n-gram; eight fit a long without loss.
 ORDER = 8
@@ -284,7 +284,9 @@ def counted(parts: DataFrame, labels: DataFrame) -> DataFrame:
             yield from flush()
 
     rows = parts.join(known, "slice").mapInArrow(run, "gram long, a0 long, a1 long, b0 long, b1 long")
-    return materialize(rows.groupBy("gram").agg(*(F.sum(x).alias(x) for x in ("a0", "a1", "b0", "b1"))), "toxicity-counts")
+    out = materialize(rows.groupBy("gram").agg(*(F.sum(x).alias(x) for x in ("a0", "a1", "b0", "b1"))), "toxicity-counts")
+    forget(known)
+    return out
 
 
 def discount(ones: int | None, twos: int | None) -> float:
@@ -301,13 +303,18 @@ def suffix(gram: Column, order: int) -> Column:
     return gram.bitwiseAND(F.lit((1 << 8 * order) - 1))
 
 
-def shared(counts: DataFrame) -> DataFrame:
-    """low, p: probability of the last byte of each n-gram of order ORDER - 1 by the lower orders, from distinct preceding bytes."""
+def lower_orders(counts: DataFrame) -> dict[int, DataFrame]:
+    """gram, n of each order below ORDER: the distinct bytes that precede an n-gram."""
     rows, tables = counts.select("gram"), {}
     for m in range(ORDER - 1, 0, -1):
         rows = materialize(rows.select(suffix(F.col("gram"), m).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")), f"toxicity-order-{m}")
         tables[m] = rows
-    below = None
+    return tables
+
+
+def shared(counts: DataFrame, tables: dict[int, DataFrame] | None = None) -> DataFrame:
+    """low, p: probability of the last byte of each n-gram of order ORDER - 1 by the lower orders, from distinct preceding bytes."""
+    tables, below = tables or lower_orders(counts), None
     for m in range(1, ORDER):
         d = discounts(tables[m], ["n"])["n"]
         context = Window.partitionBy(F.shiftrightunsigned("gram", 8))
@@ -326,7 +333,8 @@ def evidence(counts: DataFrame) -> DataFrame:
     columns = ["a0", "a1", "b0", "b1"]
     d = discounts(counts, columns)
     context = Window.partitionBy("context")
-    rows = counts.withColumn("low", suffix(F.col("gram"), ORDER - 1)).join(shared(counts), "low").withColumn("context", F.shiftrightunsigned("gram", 8))
+    tables = lower_orders(counts)
+    rows = counts.withColumn("low", suffix(F.col("gram"), ORDER - 1)).join(shared(counts, tables), "low").withColumn("context", F.shiftrightunsigned("gram", 8))
     rows = rows.withColumns({f"{c}_total": F.sum(c).over(context) for c in columns} | {f"{c}_kinds": F.count_if(F.col(c) > 0).over(context) for c in columns})
 
     def log_p(c: str) -> Column:
@@ -336,7 +344,10 @@ def evidence(counts: DataFrame) -> DataFrame:
         return F.log(F.when(F.col(f"{c}_total") > 0, d[c] * F.col(f"{c}_kinds") / F.col(f"{c}_total")).otherwise(F.lit(1.0)))
 
     rows = rows.select("context", "gram", *((log_p(f"{v}1") - log_p(f"{v}0")).cast("float").alias(v) for v in "ab"), *((log_rest(f"{v}1") - log_rest(f"{v}0")).cast("float").alias(f"{v}_rest") for v in "ab"))
-    return materialize(rows, "toxicity-evidence")
+    out = materialize(rows, "toxicity-evidence")
+    for table in tables.values():
+        forget(table)
+    return out
 
 
 class Bucket:
@@ -470,8 +481,14 @@ def assess(docs: DataFrame, labels: DataFrame, *, most: int = CURVE_DOCUMENTS) -
     if not totals[0] or not totals[1]:
         score = F.lit(1.0 if totals[1] else 0.0)
         rows = docs
+        forget(parts)
+        forget(counts)
     else:
-        rows = measured(parts, evidence(counts), version)
+        known = evidence(counts)
+        forget(counts)
+        rows = measured(parts, known, version)
+        forget(parts)
+        forget(known)
         fitted = rows.where("sample").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
         w = [float(v) for v in curve(np.array([(r["mean"], r["root"]) for r in fitted]), np.array([chosen[r["doc_id"]] for r in fitted]))]
         rows = rows.where("not sample")
