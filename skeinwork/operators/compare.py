@@ -5,7 +5,7 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions import delta_text, number, ratio
@@ -44,6 +44,28 @@ def common_pairs(chain: DataFrame, level: DataFrame) -> DataFrame:
     return both.select(F.col("case").alias("chain_case"), F.col("case").alias("level_case"), F.col("case").alias("label"))
 
 
+# fixed values: the published comparison's chain case, level case and label
+PUBLISHED_PAIRS = (
+    ("small_chain_v64", "carry_l1", "small_high_diameter"),
+    ("small_star_v4096_u1024", "star_4096", "small_hot_source"),
+    ("small_spread_v4096_u1024", "fanout_4096_s64", "small_spread_fanout"),
+    ("small_hotdst_v4096_u1024", "duplicate_heavy_4096", "small_hot_destination"),
+    ("medium_star_v65536_u8192", "star_65536", "medium_hot_source"),
+    ("medium_spread_v65536_u16384", "fanout_65536_s256", "medium_spread_fanout"),
+)
+
+
+def published(spark: SparkSession) -> DataFrame:
+    """The published pairs: chain_case, level_case, label."""
+    return spark.createDataFrame(list(PUBLISHED_PAIRS), "chain_case string, level_case string, label string")
+
+
+def by_size(pairs: DataFrame) -> DataFrame:
+    """Of compared pairs, for each size (a label's first word): their number, and the least and greatest ratio of the chain's time to the kernel's; pairs without both times have none."""
+    each = F.col("chain_over_level_kernel")
+    return pairs.groupBy(F.substring_index("label", "_", 1).alias("size")).agg(F.count(F.lit(1)).alias("pairs"), F.min(each).alias("least_ratio"), F.max(each).alias("greatest_ratio"))
+
+
 def notes(chain_there: Column, level_there: Column, chain_status: Column, level_status: Column) -> Column:
     not_pass = lambda s: F.coalesce(s, F.lit("")) != "PASS"
     return F.concat_ws(

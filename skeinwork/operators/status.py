@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.functions import first_match
+from skeinwork.functions import first_match, number
 
 # fixed values: what the logs say
 NUMBER = r"([0-9.eE+-]+)"
@@ -115,3 +115,9 @@ def guarded(lines: DataFrame, label: str, directive: str = "#ifdef", within: int
     w = Window.partitionBy("file").orderBy("line_no").rowsBetween(-within, -1)
     near = F.coalesce(F.bool_or(F.col("value").contains(directive)).over(w), F.lit(False))
     return lines.withColumn("guarded", near).where(F.col("value").contains(label))
+
+
+def padding(processed: Column, graph: Column) -> tuple[Column, Column]:
+    """Edges that a device processed beyond the graph's (it pads partitions), and EXACT, PADDED, SHORT or, where a count is missing, UNKNOWN."""
+    more = number(processed.cast("string")).cast("long") - number(graph.cast("string")).cast("long")
+    return more, F.when(more.isNull(), "UNKNOWN").when(more < 0, "SHORT").when(more == 0, "EXACT").otherwise("PADDED")

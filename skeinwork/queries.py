@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinwork import functions as fn
@@ -691,3 +691,34 @@ def exchange_native_edges(spark, d):
     diff = F.when(F.col("l_linenumber") % 3 < 2, (-F.col("l_linenumber")).cast("string"))
     line = F.concat_ws(" ", F.when(F.col("l_linenumber") % 5 == 0, "skipped"), "l_suppkey", "l_partkey", weight, diff)
     return ranges.read(spark, written(t(spark, d, "lineitem").select(line), "native"), "native").select("src", "dst", "weight", "diff")
+
+
+@query("""WITH c AS (SELECT o_orderkey, o_custkey + 1 AS graph, o_custkey + o_orderkey % 4 AS processed FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN processed - graph END AS padded_edges,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'UNKNOWN' WHEN processed < graph THEN 'SHORT' WHEN processed = graph THEN 'EXACT' ELSE 'PADDED' END AS edge_check FROM c""")
+def processed_edge_padding(spark, d):
+    rows = t(spark, d, "orders").withColumn("processed", (F.col("o_custkey") + F.col("o_orderkey") % 4).cast("string"))
+    # a log without its last line has no processed edges
+    last = F.when(F.col("o_orderkey") % 5 > 0, F.concat(F.lit("Processed edges: "), "processed", F.lit("; "))).otherwise("")
+    log = F.concat(F.lit("e2e: 0.25 ms\n"), last, F.lit("Graph edges: "), (F.col("o_custkey") + 1).cast("string"))
+    found = [fn.first_match(log, status.PATTERNS[k][1]) for k in ("processed_edges", "graph_edges")]
+    more, check = status.padding(*found)
+    return rows.select("o_orderkey", more.alias("padded_edges"), check.alias("edge_check"))
+
+
+def category_side(spark: SparkSession, d: str, key: str, names: str, *columns: Column) -> DataFrame:
+    """The lineitems dealt to the six published pairs by ``key``, under one side's case names."""
+    pairs = compare.published(spark).select(F.col(names).alias("case"), F.row_number().over(Window.orderBy("label")).alias("k"))
+    rows = t(spark, d, "lineitem").groupBy((F.col(key) % 6 + 1).cast("int").alias("k")).agg(*columns)
+    return rows.join(F.broadcast(pairs), "k").drop("k").withColumn("status", F.lit("PASS"))
+
+
+@query("""WITH p AS (SELECT *, row_number() OVER (ORDER BY label) AS k FROM (VALUES ('small_chain_v64', 'small_high_diameter', 'small'), ('small_star_v4096_u1024', 'small_hot_source', 'small'), ('small_spread_v4096_u1024', 'small_spread_fanout', 'small'),
+  ('small_hotdst_v4096_u1024', 'small_hot_destination', 'small'), ('medium_star_v65536_u8192', 'medium_hot_source', 'medium'), ('medium_spread_v65536_u16384', 'medium_spread_fanout', 'medium')) v(chain_case, label, size)),
+c AS (SELECT l_suppkey % 6 + 1 AS k, CAST(sum(l_linenumber) AS DOUBLE) + max(l_orderkey) AS ms FROM lineitem GROUP BY 1),
+l AS (SELECT l_partkey % 6 + 1 AS k, CAST(max(l_orderkey) AS DOUBLE) AS ms FROM lineitem GROUP BY 1)
+SELECT size, count(*) AS pairs, min(c.ms / l.ms) AS least_ratio, max(c.ms / l.ms) AS greatest_ratio FROM p JOIN c USING (k) JOIN l USING (k) GROUP BY size""")
+def published_pair_ratios(spark, d):
+    chain = category_side(spark, d, "l_suppkey", "chain_case", F.sum("l_linenumber").alias("update_ms"), F.max("l_orderkey").alias("compute_e2e_ms"), F.lit(1).alias("vertices"), F.lit(1).alias("final_edges"))
+    level = category_side(spark, d, "l_partkey", "level_case", F.max("l_orderkey").alias("kernel_e2e_ms"), F.lit(0).alias("maint_ms"), F.lit(0).alias("conv_ms"), F.lit(1).alias("vertices"), F.lit(1).alias("input_edges"))
+    return compare.by_size(compare.paired(compare.published(spark), chain, level))

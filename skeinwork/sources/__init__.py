@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skeinwork import schema
 from skeinwork.functions import integer_literal, parse_id
+from skeinwork.storage import with_row_index
 
 #: Folders whose files are never reports.
 EXCLUDED = ("evidence", ".tmp_doc", "phase6_results", "__pycache__")
@@ -53,8 +54,10 @@ def read_level_edges(spark: SparkSession, path: str, batch: int | None = None) -
 
     out = rows.where(good).select("file", "line_no", token(0).alias("src"), token(1).alias("dst"), token(2, 1).alias("weight"), token(3, 1).alias("diff"))
     if batch:
-        # blank and comment lines don't count
-        out = out.withColumn("batch", (F.floor((F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 1) / batch) + 1).cast("long"))
+        # blank and comment lines don't count; rows are numbered over all files at once, in parallel
+        placed = with_row_index(out, ["file", "line_no"], "__index")
+        first = placed.groupBy("file").agg(F.min("__index").alias("__first"))
+        out = placed.join(first, "file").withColumn("batch", (F.floor((F.col("__index") - F.col("__first")) / batch) + 1).cast("long")).select(*out.columns, "batch")
     return out
 
 

@@ -11,9 +11,17 @@ from pyspark.sql import functions as F
 from skeinwork.functions import UNREACHED, hex_edge, six_digits
 
 
-def _text(df: DataFrame, order: Sequence[str | Column], line: Column, path: str) -> None:
-    """One ordered text file."""
-    df.select(line.alias("value"), *[(F.col(o) if isinstance(o, str) else o).alias(f"__{k}") for k, o in enumerate(order)]).coalesce(1).sortWithinPartitions(*[f"__{k}" for k in range(len(order))]).select("value").write.mode("overwrite").text(path)
+def _text(df: DataFrame, order: Sequence[str | Column], line: Column, path: str, one_file: bool = False) -> None:
+    """Ordered lines.
+
+    Tasks sort a range each and write it as a part file; the parts in order of their
+    names, one after another, are the ordered file.  Small outputs come as one part.
+    ``one_file``: a single task writes all, for formats whose first line counts the rest.
+    """
+    keys = [f"__{k}" for k in range(len(order))]
+    rows = df.select(line.alias("value"), *[(F.col(o) if isinstance(o, str) else o).alias(k) for o, k in zip(order, keys, strict=True)])
+    rows = rows.coalesce(1).sortWithinPartitions(*keys) if one_file else rows.orderBy(*keys)
+    rows.select("value").write.mode("overwrite").text(path)
 
 
 def write_graph(vertices: int, static: DataFrame, updates: DataFrame, path: str) -> None:
@@ -22,7 +30,7 @@ def write_graph(vertices: int, static: DataFrame, updates: DataFrame, path: str)
     head = spark.createDataFrame([(f"{vertices} {static.count()} {updates.count()}", 0, 0, 0)], "line string, part int, a long, b long")
     s = static.select(F.concat_ws(" ", "src", "dst").alias("line"), F.lit(1).alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"))
     u = updates.select(F.concat_ws(" ", "src", "dst", "typ").alias("line"), F.lit(2).alias("part"), F.col("seq").alias("a"), F.lit(0).cast("long").alias("b"))
-    _text(head.union(s).union(u), ["part", "a", "b"], F.col("line"), path)
+    _text(head.union(s).union(u), ["part", "a", "b"], F.col("line"), path, one_file=True)
 
 
 def write_result(edges: DataFrame, path: str) -> None:
@@ -36,13 +44,16 @@ def write_edges(edges: DataFrame, path: str, weight: bool = True) -> None:
 def write_distances(distances: DataFrame, path: str) -> None:
     """vertex and distance, INF where unreached, with a header."""
     rows = distances.select("vertex", F.coalesce(F.col("distance").cast("string"), F.lit(UNREACHED)).alias("distance_after_supersteps"))
-    write_tsv(rows.coalesce(1).sortWithinPartitions("vertex"), path, rows.columns)
+    write_tsv(rows.orderBy("vertex"), path, rows.columns)
 
 
 def write_tsv(df: DataFrame, path: str, fields: Sequence[str], mode: str = "overwrite", header: bool = True) -> None:
-    """The fields in this order, other columns left out; a missing field or null is ""."""
+    """The fields in this order, other columns left out; a missing field or null is "".
+
+    Every task writes its rows, in their order, to a part file with a header of its own.
+    """
     columns = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) if f in df.columns else F.lit("").alias(f) for f in fields]
-    df.select(*columns).coalesce(1).write.mode(mode).option("sep", "\t").option("header", header).option("quote", "").option("emptyValue", "").csv(path)
+    df.select(*columns).write.mode(mode).option("sep", "\t").option("header", header).option("quote", "").option("emptyValue", "").csv(path)
 
 
 def case_json(row: dict, intent: str) -> str:

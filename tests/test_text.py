@@ -129,3 +129,25 @@ def test_discovery(spark, tmp_path):
     assert [r["path_from_root"] for r in got.orderBy("path").collect()] == ["a/x.rpt", "b/evidence.rpt"]
     (tmp_path / "a/c.sssp.edges").write_text("1 2")
     assert len(sources.edge_files(spark, [str(tmp_path / "e")], [str(tmp_path)])) == 2
+
+
+def test_sinks_write_ordered_parts(spark, tmp_path):
+    edges = spark.range(4000).select((F.col("id") * 7919 % 4000).alias("src"), F.col("id").alias("dst"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_edges(edges, str(tmp_path / "e"), weight=False)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "e").glob("part-*"))
+    lines = [x for p in parts for x in p.read_text().splitlines()]
+    assert len(parts) > 1 and lines == [f"{s} {d}" for s, d in rows(edges)]
+    got = sources.read_level_edges(spark, str(tmp_path / "e"), batch=300)
+    by_file = got.groupBy("file").agg(F.count("*").alias("n"), F.max("batch").alias("batches")).collect()
+    assert sum(r["n"] for r in by_file) == 4000 and all(r["batches"] == -(-r["n"] // 300) for r in by_file)
+    # a batch holds neighbouring lines
+    assert got.groupBy("file", "batch").agg((F.max("line_no") - F.min("line_no") + 1 - F.count("*")).alias("gap")).where("gap <> 0").count() == 0
+
+
+def test_padding(spark):
+    logs = spark.createDataFrame([("8", "5"), ("5", "5"), ("4", "5"), ("", "5"), (None, "5")], "p string, g string")
+    assert [tuple(r) for r in logs.select(*status.padding(F.col("p"), F.col("g"))).collect()] == [(3, "PADDED"), (0, "EXACT"), (-1, "SHORT"), (None, "UNKNOWN"), (None, "UNKNOWN")]
