@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.functions import ceil_div
-from skeinwork.storage import settle, with_row_index
+from skeinwork.storage import forget, settle, with_row_index
 
 KEY = ["src", "dst"]
 INT16 = (-32768, 32767)
 OVERFLOW = "duplicate diff sum exceeds int16"
+#: Edges that a task of ``usage`` holds, about; each becomes one row for every level that it is carried into.
+TASK_EDGES = 1 << 17
 
 
 @dataclasses.dataclass(frozen=True)
@@ -145,7 +147,10 @@ def replayed(batched: DataFrame, batches: int, store: Store) -> DataFrame:
 
 
 def windows(batched: DataFrame, batches: int) -> DataFrame:
-    """(carry, level, src, dst, diff): the edges of every carry.  A batch enters one carry of each level above its own."""
+    """(carry, level, src, dst, diff): the edges of every carry.  A batch enters one carry of each level above its own.
+
+    Where ``batched`` is dealt out by edge, the rows of the levels stay in the tasks that make them.
+    """
     level = F.col("level")
     unit = F.pow(F.lit(2), level).cast("long")
     upto = F.ceil(F.col("batch") / unit).cast("long") * unit
@@ -155,9 +160,12 @@ def windows(batched: DataFrame, batches: int) -> DataFrame:
     return into.groupBy("carry", "level", *KEY).agg(F.sum("diff").cast("long").alias("diff")).where(F.col("diff") != 0)
 
 
-def usage(batched: DataFrame, batches: int, store: Store = Store()) -> DataFrame:
-    """carry, level, part, edges, over: how full each partition of each carry is, and diff sums outside 16 bits."""
-    rows = windows(batched, batches).withColumn("part", partition_of(F.col("dst"), store))
+def usage(batched: DataFrame, batches: int, store: Store = Store(), tasks: int | None = None) -> DataFrame:
+    """carry, level, part, edges, over: how full each partition of each carry is, and diff sums outside 16 bits.
+
+    ``tasks``: how many tasks the edges are dealt over before they are multiplied by the levels.
+    """
+    rows = windows(batched.repartition(tasks, *KEY) if tasks else batched, batches).withColumn("part", partition_of(F.col("dst"), store))
     wide = ~F.col("diff").between(*INT16)
     return rows.groupBy("carry", "level", "part").agg(F.count(F.lit(1)).alias("edges"), F.count_if(wide).alias("over"))
 
@@ -177,10 +185,12 @@ def classify(batched: DataFrame, store: Store = Store(), case: str = "", edge_fi
     def fail(status: str, reason: str, **more: int) -> dict[str, object]:
         return out | dict(status=status, failure_reason=reason) | more
 
-    alone = batched.groupBy("batch", *KEY).agg(F.sum("diff").alias("d")).where(~F.col("d").between(*INT16))
-    if alone.limit(1).count():
+    # tasks in proportion to the edges; a batch bounds the rows of one of its edges, and their number bounds the rows of an edge from then on
+    tasks = -(-raw // TASK_EDGES)
+    own = settle(batched.repartition(tasks, "batch", *KEY).groupBy("batch", *KEY).agg(F.sum("diff").alias("diff")), "batches")
+    if own.where(~F.col("diff").between(*INT16)).limit(1).count():
         return fail("INVALID_INPUT", OVERFLOW)
-    use = usage(batched, batches, store)
+    use = usage(own, batches, store, tasks)
     level = F.col("level")
     total = (F.lit(store.batch) * F.pow(F.lit(store.ratio), level)).cast("long")
     split = F.when(level == 0, F.lit(store.batch).cast("long")).otherwise(ceil_div(total, store.partitions))
@@ -189,6 +199,7 @@ def classify(batched: DataFrame, store: Store = Store(), case: str = "", edge_fi
         F.sum("edges").alias("edges"), F.sum("over").alias("over"), F.max(F.when(F.col("part") < 0, F.col("edges"))).alias("outside"),
         F.max(F.when(F.col("part") >= 0, F.col("edges"))).alias("most"), F.min(F.when(crowded, F.struct("part", "edges"))).alias("crowded"),
     ).withColumns({"total": total, "split": split}), "carries")
+    forget(own)
     if each.count() < batches:
         return _classify_replayed(batched, batches, store, out, fail)
     reason = (

@@ -76,4 +76,5 @@ def with_row_index(df: DataFrame, order: list[str], name: str = "row_index") ->
     placed = settle(placed.withColumns({"__part": F.spark_partition_id(), "__at": local}), "row-index")
     counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")
-    return placed.join(before, "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+    # one row a partition: the rows that are numbered stay where they are read
+    return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")

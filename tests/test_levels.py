@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from conftest import rows
@@ -92,6 +93,27 @@ def test_other_failures(spark):
     assert levels.case_name("/a/run1/x.sssp.edges") == "x" and levels.case_name("/a/run1/y.txt") == "run1"
 
 
+def test_edges_are_multiplied_by_levels_where_they_lie(spark, monkeypatch):
+    plans, settle = {}, levels.settle
+
+    def settled(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return settle(df, name)
+
+    monkeypatch.setattr(levels, "settle", settled)
+    monkeypatch.setattr(levels, "TASK_EDGES", 64, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = classify(spark, generate.one_partition_probe(spark, 1000), levels.Store(batch=100, partitions=1))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert (got["status"], got["raw_edges"], got["final_edges"], got["final_max_level"]) == ("FITS", 1000, 1000, 3)
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^\n]*)", plans["carries"])
+    assert exchanges and not any("carry" in x and "src" in x for x in exchanges)
+    assert any(re.match(r"src#\d+L, dst#\d+L, 16\)", x) for x in exchanges)  # tasks in proportion to the edges
+    assert "SortMergeJoin" not in plans["batches"]  # rows are numbered where they are read
+
+
 def test_capacities_and_histogram(spark):
     assert rows(levels.capacities(spark))[:2] == [(0, 131072, 131072), (1, 262144, 16384)]
     e = spark.createDataFrame([(0, -1), (0, 0), (0, 1 << 20), (0, 16 << 20)], "src long, dst long")
