@@ -26,7 +26,6 @@ import dataclasses
 import heapq
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +43,8 @@ BLOCK_BYTES, WORK_BYTES, BUCKET_UNITS = 8 << 20, 1 << 19, 1 << 16
 LONG_UNIT = 60
 #: Bit of a BPE state that says that a merge let an earlier edge in.
 AGAIN = 1 << 62
+#: Added to ids in outcomes: code points are below zero.
+OUTCOME = 1 << 31
 UNKNOWN_PENALTY = 10.0
 
 
@@ -202,27 +203,26 @@ def lattice(distinct: DataFrame, model: Model, parts: int = 1) -> DataFrame:
     if not model.bpe:
         edge = F.struct((F.col("s") + F.col("w")).alias("e"), "s", F.coalesce("id", -2 - F.ascii("cut")).alias("id"), F.coalesce("score", F.lit(model.floor)).alias("score"))
         return edges.groupBy("uid").agg(unit, F.sort_array(F.collect_list(edge)).alias("edges")).select("unit", fold_viterbi(F.col("edges")).alias("path"))
-    # an edge is one long.  Symbols: start, whether a piece, its id or code point.  Longer ones: rank, start, length, late, id
-    put = lambda *fields: reduce(lambda x, f: F.shiftleft(x, f[1]).bitwiseOR(f[0].cast("long")), fields, F.lit(0).cast("long"))
-    one = put((F.col("s"), 6), (F.col("id").isNotNull(), 1), (F.coalesce("id", F.ascii("cut")), 24))
-    longer = put((F.col("rank"), 22), (F.col("s"), 6), (F.col("w"), 8), (F.col("late"), 1), (F.col("id"), 24))
-    lists = {k: F.sort_array(F.collect_list(F.when((F.col("w") == 1) == (k == "ones"), v))).alias(k) for k, v in (("ones", one), ("more", longer))}
-    return edges.groupBy("uid").agg(unit, *lists.values()).select("unit", F.transform(F.array(F.struct("ones", "more")), lambda x: fold_merges(x["ones"], x["more"], F.length("unit")))[0].alias("path"))
+    # made before the edges are grouped, by compiled code.  An outcome is start and id (or code point) in one long
+    s, far = F.col("s"), F.col("s") + F.col("w")
+    outcome = lambda k: F.shiftleft(s.cast("long"), 32) + k.cast("long") + F.lit(OUTCOME)
+    one = outcome(F.coalesce("id", -2 - F.ascii("cut")))
+    # place: rank and start; ends: bits of both ends; inner: bits between them
+    longer = F.struct(
+        (F.shiftleft(F.col("rank").cast("long"), 6) + s).alias("place"), (power(1, s) + power(1, far)).alias("ends"), (power(1, far) - power(2, s)).alias("inner"),
+        "late", outcome(F.col("id")).alias("outcome"),
+    )
+    ones, more = F.collect_list(F.when(F.col("w") == 1, one)).alias("ones"), F.sort_array(F.collect_list(F.when(F.col("w") > 1, longer))).alias("more")
+    return edges.groupBy("uid").agg(unit, ones, more).select("unit", F.transform(F.array(F.struct("ones", "more")), lambda x: fold_merges(x["ones"], x["more"], F.length("unit")))[0].alias("path"))
 
 
-def bits_of(x: Column, at: int, width: int) -> Column:
-    return F.shiftright(x, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+def power(x: int, by: Column) -> Column:
+    """x shifted left, as a long."""
+    return F.call_function("shiftleft", F.lit(x).cast("long"), by.cast("int"))
 
 
 def fold_merges(ones: Column, more: Column, n: Column) -> Column:
-    """BPE over the packed edges ``more`` in order of rank and start; ``ones`` are the n symbols."""
-    shift = lambda x, by: F.call_function("shiftleft", F.lit(x).cast("long"), by.cast("int"))
-
-    def edge(x: Column) -> Column:
-        s, w = bits_of(x, 33, 6), bits_of(x, 25, 8)
-        lo, hi = shift(1, s), shift(1, s + w)
-        # ends: bits of both ends; inner: bits between them; place: rank and start
-        return F.struct(F.shiftright(x, 33).alias("place"), (lo + hi).alias("ends"), (hi - lo * 2).alias("inner"), s.alias("s"), (bits_of(x, 24, 1) == 1).alias("late"), bits_of(x, 0, 24).alias("id"))
+    """BPE over the edges ``more`` in order of place; ``ones`` are the outcomes of the n symbols."""
 
     def fold(edges: Column) -> Column:
         def may(bits: Column, x: Column) -> Column:
@@ -237,23 +237,22 @@ def fold_merges(ones: Column, more: Column, n: Column) -> Column:
             first = F.get(F.filter(edges, lambda x: may(bits, x)), F.lit(0))["inner"]
             return bits.bitwiseAND(F.bitwise_not(F.coalesce(first, F.lit(0).cast("long"))))
 
-        start = shift(2, n) - 1  # every position is a boundary
+        start = power(2, n) - 1  # every position is a boundary
         rounds = F.slice(F.sequence(F.lit(0), n), 2, F.greatest(n - 1, F.lit(0)))
         passed = F.aggregate(edges, start, once)
         bits = F.transform(F.array(passed), lambda b: F.when(b.bitwiseAND(F.lit(AGAIN)) == 0, b).otherwise(F.aggregate(rounds, start, anew)))
 
         def path(b: Column) -> Column:
-            long = F.filter(edges, lambda x: (b.bitwiseAND(x["inner"]) == 0) & (b.bitwiseAND(x["ends"]) == x["ends"]))
-            short = F.filter(ones, lambda x: b.bitwiseAND(shift(3, bits_of(x, 25, 6))) == shift(3, bits_of(x, 25, 6)))
-            named = lambda s, k: F.struct(s.alias("s"), k.cast("int").alias("id"))
-            single = lambda x: named(bits_of(x, 25, 6), F.when(bits_of(x, 24, 1) == 1, bits_of(x, 0, 24)).otherwise(-2 - bits_of(x, 0, 24)))
-            both = F.concat(F.transform(long, lambda x: named(x["s"], x["id"])), F.transform(short, single))
-            return F.transform(F.array_sort(both), lambda x: x["id"])
+            long = F.transform(F.filter(edges, lambda x: (b.bitwiseAND(x["inner"]) == 0) & (b.bitwiseAND(x["ends"]) == x["ends"])), lambda x: x["outcome"])
+            # symbols are left only between two neighbouring boundaries
+            alone = lambda x: F.call_function("shiftright", b, F.shiftright(x, 32).cast("int")).bitwiseAND(F.lit(3).cast("long")) == 3
+            short = F.when(b.bitwiseAND(F.shiftright(b, 1)) == 0, F.array().cast("array<long>")).otherwise(F.filter(ones, alone))
+            return F.transform(F.sort_array(F.concat(long, short)), lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(OUTCOME)).cast("int"))
 
         return F.transform(bits, path)[0]
 
-    # the edges are unpacked once, as the argument of a lambda
-    return F.transform(F.array(F.transform(more, edge)), fold)[0]
+    # the list is made once, as the argument of a lambda
+    return F.transform(F.array(more), fold)[0]
 
 
 def fold_viterbi(edges: Column) -> Column:

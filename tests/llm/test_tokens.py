@@ -147,6 +147,17 @@ def test_merges_that_let_an_earlier_edge_in(spark):
     assert got == {w: lattice.merges(w, table_, model) for w in words}
 
 
+def test_edges_are_made_before_they_are_grouped(spark):
+    """The fold is interpreted: it gets edges ready to use, and sorts longs without a comparator of its own."""
+    pieces = [(c, k, 0.0) for k, c in enumerate("abc")] + [("ab", 10, -1.0), ("bc", 11, -2.0)]
+    model = lattice.Model(True, pieces, list(range(100, 356)), 99, 2, -20.0)
+    got = lattice.lattice(spark.createDataFrame([("abcé",), ("cbca",), ("éé",)], "unit string"), model)
+    assert {r["unit"]: list(r["path"]) for r in got.collect()} == {"abcé": [10, 2, -2 - ord("é")], "cbca": [2, 11, 0], "éé": [-2 - ord("é")] * 2}
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = [line.strip(" +-:") for line in plan if "struct(place" in line]
+    assert made and all(line.startswith("Aggregate") for line in made) and not any("array_sort(" in line for line in plan)
+
+
 def test_unigram_lattice_equals_the_library(spark):
     from sentencepiece import sentencepiece_model_pb2 as pb
 
